@@ -256,15 +256,20 @@ class Index:
                 found[i] = forms.get(json.loads(b'"' + self.buf[lo[i] : hi[i]].tobytes() + b'"'), -1)
         return found
 
-    def value_text(self, colon: int) -> str | None:
-        """The scalar behind a colon: a string's characters, the letters of a number or literal; None for null, objects and lists."""
-        if self.scalar[colon]:
-            raw = self.buf[self.scalar_from[colon] : self.scalar_to[colon]].tobytes().decode()
-            return None if raw == "null" else raw
-        if colon + 1 < len(self.kind) and self.opens_string[colon + 1]:
-            raw = self.buf[self.pos[colon + 1] + 1 : self.pos[colon + 2]].tobytes()
-            return json.loads(b'"' + raw + b'"') if b"\\" in raw else raw.decode()
-        return None
+    def values(self, colons: np.ndarray) -> list[str | None]:
+        """The scalars behind colons: a string's characters, the letters of a number or literal; None for null, objects and lists."""
+        nxt = np.minimum(colons + 1, len(self.kind) - 1)
+        is_text = ~self.scalar[colons] & self.opens_string[nxt]
+        lo = np.where(is_text, self.pos[nxt] + 1, self.scalar_from[colons])
+        hi = np.where(is_text, self.pos[np.minimum(nxt + 1, len(self.pos) - 1)], self.scalar_to[colons])
+        whole, out = self.buf.tobytes(), []
+        for a, b, text, scalar in zip(lo.tolist(), hi.tolist(), is_text.tolist(), self.scalar[colons].tolist()):
+            raw = whole[a:b]
+            if text:
+                out.append(json.loads(b'"' + raw + b'"') if b"\\" in raw else raw.decode())
+            else:
+                out.append(raw.decode() if scalar and raw != b"null" else None)
+        return out
 
 
 def _rows(index: Index, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -353,6 +358,8 @@ def _fields(index: Index, shape: Shape, objects: np.ndarray, level: np.ndarray)
     wanted = [*dict.fromkeys(a for x in shape.levels for a in x.attributes)]
     of_level = np.full(len(index.kind), -1, np.int64)
     of_level[objects] = level
+    if not wanted:
+        return {}
     colons = np.flatnonzero(index.kind == COLON)
     colons = colons[of_level[index.holder[colons]] >= 0]
     code = index.keys(colons, wanted)
@@ -360,8 +367,8 @@ def _fields(index: Index, shape: Shape, objects: np.ndarray, level: np.ndarray)
     colons, code = colons[code >= 0], code[code >= 0]
     hit = allowed[of_level[index.holder[colons]], code]
     out: dict[int, dict[str, str | None]] = {}
-    for c, a in zip(colons[hit].tolist(), code[hit].tolist()):
-        out.setdefault(int(index.holder[c]), {})[wanted[a]] = index.value_text(c)
+    for holder, a, value in zip(index.holder[colons[hit]].tolist(), code[hit].tolist(), index.values(colons[hit])):
+        out.setdefault(holder, {})[wanted[a]] = value
     return {k: list(v.items()) for k, v in out.items()}
 
 
