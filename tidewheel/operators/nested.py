@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.session import ship
+
 QUOTE, BACK, LBRACE, RBRACE, LBRACK, RBRACK, COLON, COMMA = (ord(c) for c in '"\\{}[]:,')
 #: Bytes of text that are indexed at once; a single longer text is indexed alone.
 BATCH_BYTES = 4 << 20
@@ -379,6 +381,7 @@ def linked_rows(df: DataFrame, record_id: str, payload: str, shape: Shape, lates
     is NULL, blank or no complete JSON document, and records without id, give no rows; an empty table gives an empty one. Extra columns are
     not read. Work is per record and needs no shuffle but the one that joins repeated deliveries.
     """
+    ship(df.sparkSession)
     use = df.filter(F.col(record_id).isNotNull() & F.col(payload).isNotNull())
     order = F.struct(F.col(latest_by).alias("at"), F.col(payload).alias("p")) if latest_by else F.struct(F.lit(0).alias("at"), F.col(payload).alias("p"))
     once = use.groupBy(record_id).agg(F.max(order)["p"].alias("__payload")).select(F.col(record_id).cast("long").alias("id"), "__payload")
