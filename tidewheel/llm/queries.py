@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import packing, similar
+from tidewheel.llm import packing, similar, spans
 from tidewheel.session import read
 
 # The scales of the four means.
@@ -30,5 +30,14 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p6_containers": p6_containers}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, members = spans.shared_spans(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return spans.document_pairs(found, members)
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.coverage(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p6_containers": p6_containers, "p8_found": p8_found, "p8_coverage": p8_coverage}
 SQL: dict[str, str] = {}
