@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import packing, similar, spans
+from tidewheel.llm import leakage, packing, similar, spans
 from tidewheel.session import read
 
 # The scales of the four means.
@@ -30,6 +30,18 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _leak_tables(spark: SparkSession, sf_dir: str) -> tuple:
+    return read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_items"), "item_id", "text"
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(*_leak_tables(spark, sf_dir))
+
+
+def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.paraphrases(*_leak_tables(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, members = spans.shared_spans(read(spark, sf_dir, "documents"), "doc_id", "text")
     return spans.document_pairs(found, members)
@@ -39,5 +51,5 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.coverage(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p6_containers": p6_containers, "p8_found": p8_found, "p8_coverage": p8_coverage}
+QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p6_containers": p6_containers, "p7_found": p7_found, "p7_paraphrases": p7_paraphrases, "p8_found": p8_found, "p8_coverage": p8_coverage}
 SQL: dict[str, str] = {}
