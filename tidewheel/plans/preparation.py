@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.operators import asknown, history, nested, stamps
-from tidewheel.session import read
+from tidewheel.session import cut, read
 
 OFFERS = nested.Shape(
     levels=(
@@ -61,34 +61,36 @@ def with_official_day(games: DataFrame) -> DataFrame:
     return stamps.with_date_readings(games, "officialdate", "__days").withColumn("day", F.try_element_at(fits, F.lit(1))["day"]).drop("__days")
 
 
-def stamp_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+def official_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games with their official day, written down once: two results are made of it."""
+    return cut(with_official_day(read(spark, sf_dir, "schedule_games").select("schedule_id", "gamedate", "officialdate", "feed", "venue_id", "updated_at").distinct()))
+
+
+def stamp_values(spark: SparkSession, sf_dir: str, games: DataFrame) -> DataFrame:
     """All stamps of the three tables, with their readings: (field, row_id, node_path, feed, seen, readings)."""
     zones = read(spark, sf_dir, "venues").groupBy("venue_id").agg(F.max("tz_name").alias("tz_name"))
-    games = with_official_day(read(spark, sf_dir, "schedule_games").select("schedule_id", "gamedate", "officialdate", "feed", "venue_id", "updated_at").distinct())
-    game = stamps.with_instant_readings(games.join(zones, "venue_id", "left"), "gamedate", "readings", "tz_name", "day")
-    game = game.select(F.lit("gamedate").alias("field"), F.col("schedule_id").alias("row_id"), F.lit("").alias("node_path"), "feed", F.col("updated_at").alias("seen"), "readings")
-    events = read(spark, sf_dir, "vendor_events").select("event_row_id", "scheduled", "feed", "received_at").distinct()
-    event = stamps.with_instant_readings(events, "scheduled", "readings")
-    event = event.select(F.lit("scheduled").alias("field"), F.col("event_row_id").alias("row_id"), F.lit("").alias("node_path"), "feed", F.col("received_at").alias("seen"), "readings")
+    rows = lambda df, field, row_id, path, seen, text: df.select(F.lit(field).alias("field"), F.col(row_id).alias("row_id"), path.alias("node_path"), "feed", F.col(seen).alias("seen"), F.col(text).alias("text"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("tz_name", "string"), ("day", "date"))])
+    game = rows(games.join(zones, "venue_id", "left"), "gamedate", "schedule_id", F.lit(""), "updated_at", "gamedate")
+    event = rows(read(spark, sf_dir, "vendor_events").select("event_row_id", "scheduled", "feed", "received_at").distinct(), "scheduled", "event_row_id", F.lit(""), "received_at", "scheduled")
     shape = _bare(OFFERS, ("offer", "selection", "opening_line"), {"opening_line": ("created",)})
     raw = read(spark, sf_dir, "offers_raw")
     created = nested.linked_rows(raw, "record_id", "payload", shape, "received_at").filter("node = 'opening_line'").select("record_id", "node_path", F.col("attributes")["created"].alias("created"))
     feeds = raw.filter(F.col("record_id").isNotNull()).groupBy("record_id").agg(F.max(F.struct("received_at", "feed"))["feed"].alias("feed"), F.max("received_at").alias("seen"))
-    line = stamps.with_instant_readings(created.filter("created is not null").join(feeds, "record_id"), "created", "readings")
-    line = line.select(F.lit("created").alias("field"), F.col("record_id").alias("row_id"), "node_path", "feed", "seen", "readings")
-    return game.unionByName(event).unionByName(line)
+    line = rows(created.filter("created is not null").join(feeds, "record_id"), "created", "record_id", F.col("node_path"), "seen", "created")
+    values = stamps.with_instant_readings(game.unionByName(event).unionByName(line), "text", "readings", "tz_name", "day")
+    return values.select("field", "row_id", "node_path", "feed", "seen", "readings")
 
 
-def _instants(spark: SparkSession, sf_dir: str, conventions: dict[str, stamps.Convention]) -> DataFrame:
-    values = stamp_values(spark, sf_dir).withColumn("source", F.concat_ws("/", "field", "feed"))
+def _instants(spark: SparkSession, sf_dir: str, conventions: dict[str, stamps.Convention], games: DataFrame) -> DataFrame:
+    values = stamp_values(spark, sf_dir, games).withColumn("source", F.concat_ws("/", "field", "feed"))
     by_source = {f"{f}/{feed}": c for f in ("gamedate", "scheduled", "created") for feed, c in conventions.items()}
     return stamps.choose_readings(values, "source", ["seen", "row_id", "node_path"], "readings", by_source)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = _instants(spark, sf_dir, FEEDS)
+    games = official_days(spark, sf_dir)
+    chosen = _instants(spark, sf_dir, FEEDS, games)
     instants = chosen.select("field", "row_id", "node_path", stamps.utc_text(F.col("read_at")).alias("norm"))
-    games = with_official_day(read(spark, sf_dir, "schedule_games").select("schedule_id", "officialdate", "feed").distinct())
     days = games.select(F.lit("officialdate").alias("field"), F.col("schedule_id").alias("row_id"), F.lit("").alias("node_path"), F.date_format("day", "yyyy-MM-dd").alias("norm"))
     return instants.unionByName(days.filter("norm is not null")).distinct()
 
@@ -96,7 +98,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_inferred_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the search finds out about each source when no order of day and month is declared: how many values it reads each way."""
     loose = {k: stamps.Convention(None, c.zone) for k, c in FEEDS.items()}
-    chosen = _instants(spark, sf_dir, loose)
+    chosen = _instants(spark, sf_dir, loose, official_days(spark, sf_dir))
     return chosen.groupBy("source", "read_order", "read_zone").agg(F.count(F.lit(1)).alias("n_values"))
 
 
