@@ -98,12 +98,13 @@ def _weights(g: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def common_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Longest run of equal known words in a row, pair by pair."""
-    best, run = np.zeros(len(a), np.int32), np.zeros((len(a), b.shape[1] + 1), np.int32)
-    for i in range(a.shape[1]):
-        equal = (a[:, i : i + 1] == b) & (b >= 0)
-        run[:, 1:] = np.where(equal, run[:, :-1] + 1, 0)
-        np.maximum(best, run.max(1), out=best)
-    return best
+    a, b = a.astype(np.int16 if a.max(initial=0) < 32767 else np.int32).T.copy(), b.astype(np.int16 if b.max(initial=0) < 32767 else np.int32).T.copy()
+    known = b >= 0
+    best, run = np.zeros(a.shape[1], np.int8), np.zeros((len(b) + 1, a.shape[1]), np.int8)
+    for word in a:  # row j + 1 of `run`: the run that ends with this word of a and word j of b
+        run[1:] = (run[:-1] + np.int8(1)) * ((word[None] == b) & known)
+        np.maximum(best, run.max(0), out=best)
+    return best.astype(np.int32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,6 +237,7 @@ def _sum_matrices(size: int, rank: int):
 def candidates(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, r: Retrieval = Retrieval()) -> DataFrame:
     """(doc_id, item_id, cosine, run, lcs, item_words, facts): the best figures of every document and item with a candidate passage.
 
+    With in_a_row only pairs with a common run of `known` words come out, and lcs and facts are not looked into.
     run is the longest common run of words, lcs the longest common subsequence within a passage, item_words the words of the item's passage
     that was met, facts the share of that passage's rare words that the document's passage has. Whole texts are read. NULL or blank texts and
     items, and rows without id, take no part; repeated rows change nothing; an empty side gives no rows. `items` is the evaluation set: its
@@ -270,13 +272,16 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
                 for a in range(0, len(p), 1 << 15):
                     pp, qq = p[a : a + (1 << 15)], q[a : a + (1 << 15)]
                     run = common_run(g[pp], exam.grid[qq])
-                    keep = run >= min(4, r.known)
+                    keep = run >= (r.known if r.in_a_row else 4)
                     pp, qq, run = pp[keep], qq[keep], run[keep]
-                    lcs = run if r.in_a_row else common_subsequence(g[pp], exam.grid[qq])
                     e = exam.grid[qq]
-                    is_rare = (e >= 0) & rare[np.maximum(e, 0)]
-                    has = (e[:, :, None] == g[pp][:, None, :]).any(2)
-                    facts = (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1)
+                    if r.in_a_row:  # the run decides alone
+                        lcs, facts = run, np.ones(len(run))
+                    else:
+                        lcs = common_subsequence(g[pp], e)
+                        is_rare = (e >= 0) & rare[np.maximum(e, 0)]
+                        has = (e[:, :, None] == g[pp][:, None, :]).any(2)
+                        facts = (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1)
                     found.append(pd.DataFrame({"doc_id": ids[pp], "item_id": numbers[exam.owner[qq]], "cosine": cosine[pp, qq].astype(float), "run": run, "lcs": lcs, "item_words": (e >= 0).sum(1), "facts": facts}))
             if found:
                 every = pd.concat(found, ignore_index=True).sort_values(["run", "lcs", "cosine"], kind="stable").drop_duplicates(["doc_id", "item_id"], keep="last")
