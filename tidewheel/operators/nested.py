@@ -178,6 +178,7 @@ class Index:
     def _grammar(self) -> None:
         """Adjacent tokens must be ones that JSON allows next to each other, and scalars must be numbers, true, false or null."""
         b, k, n = self.buf, self.kind, len(self.kind)
+        self.scalar, self.scalar_from, self.scalar_to = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
         if not n:
             return
         solid = np.flatnonzero((b > 0x20) | ((b != 0x20) & (b != 9) & (b != 10) & (b != 13)))
