@@ -103,13 +103,13 @@ def pooled_chi2(observed: Sequence[float], expected: Sequence[float], labels: Se
     """(statistic, degrees of freedom, labels) after merging the high tail inward, then the low end, until each bin expects `least`."""
     o, e, names = list(map(float, observed)), list(map(float, expected)), list(labels)
     while len(e) > 1 and e[-1] < least:
-        e[-2] += e.pop()
-        o[-2] += o.pop()
+        e[-2:] = [e[-2] + e[-1]]
+        o[-2:] = [o[-2] + o[-1]]
         names.pop()
         names[-1] = names[-1].rstrip("+") + "+"
     while len(e) > 1 and e[0] < least:
-        e[1] += e.pop(0)
-        o[1] += o.pop(0)
+        e[:2] = [e[0] + e[1]]
+        o[:2] = [o[0] + o[1]]
         names.pop(0)
     return sum((a - b) ** 2 / b for a, b in zip(o, e) if b > 0), max(len(e) - 1, 0), names
 
