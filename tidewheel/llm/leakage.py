@@ -239,7 +239,7 @@ def candidates(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
     With in_a_row only pairs with a common run of `known` words come out, and lcs and facts are not looked into.
     run is the longest common run of words, lcs the longest common subsequence within a passage, item_words the words of the item's passage
-    that was met, facts the share of that passage's rare words that the document's passage has. Whole texts are read. NULL or blank texts and
+    that was met, facts the share of that passage's rare words that the document's passage has (1 where it has none). Whole texts are read. NULL or blank texts and
     items, and rows without id, take no part; repeated rows change nothing; an empty side gives no rows. `items` is the evaluation set: its
     words, not the corpus, set the size of what is broadcast, in blocks of at most block_items.
     """
@@ -281,7 +281,7 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
                         lcs = common_subsequence(g[pp], e)
                         is_rare = (e >= 0) & rare[np.maximum(e, 0)]
                         has = (e[:, :, None] == g[pp][:, None, :]).any(2)
-                        facts = (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1)
+                        facts = np.where(is_rare.any(1), (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1), 1.0)
                     found.append(pd.DataFrame({"doc_id": ids[pp], "item_id": numbers[exam.owner[qq]], "cosine": cosine[pp, qq].astype(float), "run": run, "lcs": lcs, "item_words": (e >= 0).sum(1), "facts": facts}))
             if found:
                 every = pd.concat(found, ignore_index=True).sort_values(["run", "lcs", "cosine"], kind="stable").drop_duplicates(["doc_id", "item_id"], keep="last")

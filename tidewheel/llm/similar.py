@@ -31,7 +31,7 @@ class Curves:
     reach: int = 24
     sample: int = 20_000
     block_rows: int = 8_192
-    bits: int = 12
+    bits: int = 31
     dims: int = 5
     seed: int = 7
     refine: int = 1
@@ -138,7 +138,7 @@ def nearest(df: DataFrame, vec_id: str, scaled: Sequence[Column], k: int, curves
     bounds = points.agg(*[F.min(F.col("v")[i]).alias(f"l{i}") for i in range(width)], *[F.max(F.col("v")[i]).alias(f"h{i}") for i in range(width)], F.count(F.lit(1)).alias("n")).first()
     n = bounds["n"]
     low, high = (np.array([bounds[f"{c}{i}"] or 0.0 for i in range(width)]) for c in "lh")
-    frames, bits = curve_frames(width, curves), curves.bits
+    frames, bits = curve_frames(width, curves), min(curves.bits, 62 // min(width, curves.dims))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -172,7 +172,7 @@ def nearest(df: DataFrame, vec_id: str, scaled: Sequence[Column], k: int, curves
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "near": []})
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "near": pd.Series([], dtype=object)})
         ids, v = pdf["a"].to_numpy(), np.stack(pdf["v"].to_numpy())
         near, dist = _window_best(pdf["key"].to_numpy(), ids, v, reach, k)
         home = np.flatnonzero(~pdf["guest"].to_numpy())
