@@ -197,15 +197,7 @@ def randomised_svd(passages: DataFrame, exam: Exam, idf: np.ndarray, r: Retrieva
             total = np.zeros((size, rank), np.float32)
             for batch in batches:
                 for _, g in _grids(batch, r.window, 2048):
-                    w = _weights(g, idf)
-                    y = vectors(g, idf, q)
-                    keep = (g >= 0).ravel()
-                    word, row = g.ravel()[keep], np.repeat(np.arange(len(g)), g.shape[1])[keep]
-                    order = np.argsort(word, kind="stable")
-                    word, terms = word[order], (w.ravel()[keep, None] * y[row])[order]
-                    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-                    if len(first):
-                        total[word[first]] += np.add.reduceat(terms, first, axis=0)
+                    _fold(g, idf, q, total)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
         parts = passages.mapInArrow(fold, "m binary")
@@ -216,13 +208,26 @@ def randomised_svd(passages: DataFrame, exam: Exam, idf: np.ndarray, r: Retrieva
         total = np.zeros((size, rank), np.float32)
         for row in parts.collect():
             total += np.frombuffer(bytes(row["m"]), np.float32).reshape(size, rank)
-        own = vectors(exam.grid, idf, np.eye(size, dtype=np.float32)) if len(exam.grid) * size <= 1 << 24 else np.zeros((0, size), np.float32)
-        mine = own.T @ (own @ q)  # the evaluation passages weigh as much as the corpus, so that the space holds their directions
+        mine = np.zeros((size, rank), np.float32)  # the evaluation passages weigh as much as the corpus, so that the space holds their directions
+        for lo in range(0, len(exam.grid), 2048):
+            _fold(exam.grid[lo : lo + 2048], idf, q, mine)
         total += mine * (np.linalg.norm(total) / max(float(np.linalg.norm(mine)), 1e-9) if total.any() else 1.0)
         q = np.linalg.qr(total + 1e-6 * start)[0].astype(np.float32)
     return q
 
 
+def _fold(g: np.ndarray, idf: np.ndarray, q: np.ndarray, total: np.ndarray) -> None:
+    """Add A'(A q) of the passages A to `total`."""
+    w, y = _weights(g, idf), vectors(g, idf, q)
+    keep = (g >= 0).ravel()
+    word, row = g.ravel()[keep], np.repeat(np.arange(len(g)), g.shape[1])[keep]
+    order = np.argsort(word, kind="stable")
+    word, terms = word[order], (w.ravel()[keep, None] * y[row])[order]
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+    if len(first):
+        total[word[first]] += np.add.reduceat(terms, first, axis=0)
+
+
 def _sum_matrices(size: int, rank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, rank), np.float32)
