@@ -32,7 +32,7 @@ def cumulative(pool: DataFrame, group: Sequence[str], order: Sequence[str], weig
     """Pool rows with cum_before, cum and total of their weights in their group, in the order given (make it total).
 
     Rows of weight 0, NULL, NaN or below 0 cannot be drawn and are left out. A group may hold any share of all rows: it is cut into slices of
-    its leading order column by hash of that column's rank range, each slice is summed alone, and slices are chained by their totals.
+    equal width of its leading order column (a number), each slice is summed alone, and slices are chained by their totals.
     """
     ok = pool.filter((F.col(weight) > 0) & ~F.isnan(F.col(weight)) & (F.col(weight) < F.lit(float("inf"))))
     low = ok.groupBy(*group).agg(F.min(order[0]).alias("__lo"), F.max(order[0]).alias("__hi"), F.sum(weight).alias("total"))
