@@ -80,20 +80,25 @@ def grid(ids: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     return padded[starts[:, None] + np.arange(window)]
 
 
-def vectors(g: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def vectors(g: np.ndarray, idf: np.ndarray, basis: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     """Latent vectors of passages, divided by the length of their TF-IDF vectors over the known words."""
-    w, y = _weights(g, idf), np.zeros((len(g), basis.shape[1]), np.float32)
+    w, y = _weights(g, idf) if w is None else w, np.zeros((len(g), basis.shape[1]), np.float32)
     for j in range(g.shape[1]):
         y += w[:, j : j + 1] * basis[np.maximum(g[:, j], 0)]
     return y
 
 
 def _weights(g: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weight of each word place, so that a passage has length 1: repeated words add up."""
-    w = np.where(g >= 0, idf[np.maximum(g, 0)], 0.0).astype(np.float32)
-    same = g[:, :, None] == g[:, None, :]
-    square = (w[:, :, None] * w[:, None, :] * same).sum((1, 2))
-    return w / np.sqrt(np.maximum(square, 1e-12))[:, None]
+    """Weight of each word place, so that a passage has length 1: repeated words add up, unknown ones weigh nothing."""
+    of = lambda ids: np.where(ids >= 0, idf[np.maximum(ids, 0)], np.float32(0))
+    words = np.sort(g, axis=1).T.copy()
+    weights = of(words)
+    square, run = np.zeros(len(g), np.float32), np.zeros(len(g), np.float32)
+    for j in range(len(words)):  # equal words stand together: a run of weight r that grows by w adds (r + w)^2 - r^2
+        run = run * (words[j] == words[j - 1]) if j else run
+        square += weights[j] * (2 * run + weights[j])
+        run = run + weights[j]
+    return of(g) / np.sqrt(np.maximum(square, 1e-12))[:, None]
 
 
 def common_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,9 +223,15 @@ def randomised_svd(passages: DataFrame, exam: Exam, idf: np.ndarray, r: Retrieva
 
 def _fold(g: np.ndarray, idf: np.ndarray, q: np.ndarray, total: np.ndarray) -> None:
     """Add A'(A q) of the passages A to `total`."""
-    w, y = _weights(g, idf), vectors(g, idf, q)
+    w = _weights(g, idf)
+    y = vectors(g, idf, q, w)
     keep = (g >= 0).ravel()
     word, row = g.ravel()[keep], np.repeat(np.arange(len(g)), g.shape[1])[keep]
+    size = len(idf)
+    if size <= 4096:  # a small vocabulary is cheaper as a dense matrix
+        a = np.bincount(row * size + word, weights=w.ravel()[keep], minlength=len(g) * size).astype(np.float32).reshape(len(g), size)
+        total += a.T @ y
+        return
     order = np.argsort(word, kind="stable")
     word, terms = word[order], (w.ravel()[keep, None] * y[row])[order]
     first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
