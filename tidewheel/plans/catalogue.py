@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.operators.relational import top_per
 from tidewheel.session import read
 
 
@@ -35,11 +34,17 @@ class Catalogue:
 
 
 def PITCHES(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    """pitch_pool with every pitch once: its latest delivery. One partial aggregate; NaN and float columns as double, NaN as NULL."""
+    """pitch_pool with every pitch once: its latest delivery. NaN reads as NULL, features are doubles.
+
+    Every column is an aggregate of its own, so that a query's scan and shuffle hold only the columns it uses; all deliveries of a pitch agree
+    on everything but loaded_at.
+    """
     raw = read(spark, sf_dir, "pitch_pool")
-    once = top_per(raw.filter("pitch_id is not null"), ["pitch_id"], ["loaded_at"], [c for c in raw.columns if c not in ("pitch_id", "loaded_at")])
-    floats = {c: F.when(~F.isnan(c), F.col(c).cast("double")) for c in ("velo", "ivb", "hb", "spin_rate")}
-    return once.withColumns(floats)
+    seen = F.coalesce("loaded_at", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    floats = ("velo", "ivb", "hb", "spin_rate")
+    value = lambda c: F.when(~F.isnan(c), F.col(c).cast("double")) if c in floats else F.col(c)
+    columns = [c for c in raw.columns if c not in ("pitch_id", "loaded_at")]
+    return raw.filter("pitch_id is not null").groupBy("pitch_id").agg(F.max("loaded_at").alias("loaded_at"), *[F.max_by(value(c), seen).alias(c) for c in columns])
 
 
 PITCHES_SQL = """SELECT pitch_id, loaded_at, game_pk, at_bat_number, pitch_number, game_date, season, pitcher_id, p_throws, batter_id, stand,

@@ -90,11 +90,11 @@ def pitching_change_boundaries(t):
     return a.select("game_pk", "pitcher_id", F.row_number().over(w).alias("arm"), "first_ab", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("thrown_before"))
 
 
-@query(f"""WITH b AS ({BATTERS_SQL}) SELECT season, metric, count(value) AS n, round(avg(value), 6) AS mean FROM (SELECT season, unnest(['k_rate', 'walk_rate', 'whiff_rate', 'contact_rate', 'avg_exit_velo']) AS metric, unnest([k_rate, walk_rate, whiff_rate, contact_rate, avg_exit_velo]) AS value FROM b) GROUP BY 1, 2""")
+@query(f"""WITH b AS ({BATTERS_SQL}) SELECT season, metric, count(value) AS n, round(avg(value), 10) AS mean FROM (SELECT season, unnest(['k_rate', 'walk_rate', 'whiff_rate', 'contact_rate', 'avg_exit_velo']) AS metric, unnest([k_rate, walk_rate, whiff_rate, contact_rate, avg_exit_velo]) AS value FROM b) GROUP BY 1, 2""")
 def league_averages(t):
     """Means of all metrics by season, unpivoted."""
     long = batters(t).select("season", F.explode(F.array(*[F.struct(F.lit(r).alias("metric"), F.col(r).alias("value")) for r in RATES])).alias("x"))
-    return long.groupBy("season", F.col("x.metric").alias("metric")).agg(F.count("x.value").alias("n"), F.round(F.avg("x.value"), 6).alias("mean"))
+    return long.groupBy("season", F.col("x.metric").alias("metric")).agg(F.count("x.value").alias("n"), F.round(F.avg("x.value"), 10).alias("mean"))
 
 
 @query(f"""WITH b AS ({BATTERS_SQL}), l AS (SELECT season, avg(k_rate) AS league FROM b GROUP BY 1)
