@@ -170,21 +170,22 @@ def fit_mixture(x: np.ndarray, k: int, seed: int = 42, starts: int = 3, rounds:
     n, d = x.shape
     rng, best = np.random.default_rng(seed), None
     ridge = 1e-6 * np.eye(d) * max(float(x.var(0).mean()), 1e-9)
-    for _ in range(starts):
+    for _ in range(1 if k == 1 else starts):
         means, w, covs = x[rng.choice(n, k, replace=False)], np.full(k, 1 / k), np.stack([np.cov(x.T, ddof=0).reshape(d, d) + ridge] * k)
         last = -np.inf
-        for _ in range(rounds):
-            logp = np.empty((n, k))
-            for j in range(k):
-                chol = np.linalg.cholesky(covs[j])
-                z = np.linalg.solve(chol, (x - means[j]).T)
-                logp[:, j] = np.log(w[j]) - 0.5 * (z**2).sum(0) - np.log(np.diag(chol)).sum() - 0.5 * d * np.log(2 * np.pi)
-            top = logp.max(1, keepdims=True)
-            norm = top[:, 0] + np.log(np.exp(logp - top).sum(1))
-            r, total = np.exp(logp - norm[:, None]), float(norm.sum())
-            mass = r.sum(0) + 1e-9
-            w, means = mass / mass.sum(), (r.T @ x) / mass[:, None]
-            covs = np.stack([((r[:, j : j + 1] * (x - means[j])).T @ (x - means[j])) / mass[j] + ridge for j in range(k)])
+        for _ in range(rounds):  # all components at once
+            root = np.linalg.cholesky(covs)
+            z = np.linalg.inv(root) @ (x[None] - means[:, None]).transpose(0, 2, 1)
+            scale = np.log(w) - np.log(np.diagonal(root, axis1=1, axis2=2)).sum(1) - 0.5 * d * np.log(2 * np.pi)
+            logp = scale[:, None] - 0.5 * (z * z).sum(1)
+            top = logp.max(0)
+            share = np.exp(logp - top)
+            total_share = share.sum(0)
+            r, total = share / total_share, float((top + np.log(total_share)).sum())
+            mass = r.sum(1) + 1e-9
+            w, means = mass / mass.sum(), (r @ x) / mass[:, None]
+            off = x[None] - means[:, None]
+            covs = (off * r[:, :, None]).transpose(0, 2, 1) @ off / mass[:, None, None] + ridge
             if total - last < 1e-5 * n:
                 break
             last = total
