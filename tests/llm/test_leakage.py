@@ -99,3 +99,15 @@ def test_tree_sum(spark):
     idf = np.ones(len(exam.vocabulary), np.float32)
     a, b = (L.randomised_svd(made.repartition(n), exam, idf, r) for n in (1, 40))
     assert np.linalg.svd(a.T @ b)[1].min() > 0.99
+
+
+def test_paraphrase_behind_a_longer_run(spark):
+    """A passage that passes counts, though another one of the same document and item has a longer run and fails."""
+    _, _, _, items = tables(spark)
+    w = [f"q{i}" for i in range(36)]
+    i = spark.createDataFrame([(7, " ".join(w))] + [(k, t) for k, t, _ in items[:5]], "item_id long, text string")
+    kept = [x if k % 6 else "other" for k, x in enumerate(w[:24])]
+    text = " ".join(kept + ["other"] * 24 + w[26:34] + items[0][1].split()[:4] + ["other"] * 12)
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = L.paraphrases(d, "doc_id", "text", i, "item_id", "text", facts=0.0).collect()
+    assert [(r.doc_id, r.item_id, r.run, r.lcs) for r in got] == [(1, 7, 5, 20)]

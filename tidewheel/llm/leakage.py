@@ -38,6 +38,10 @@ class Retrieval:
     rounds: int = 2
     cosine: float = 0.25
     seed: int = 5
+    #: Without in_a_row: least share of an item passage's words in the common subsequence, of its rare words, and least length of such a passage.
+    overlap: float = 0.0
+    facts: float = 0.0
+    least_words: int = 0
     #: Items whose vocabulary and passages are broadcast at once; more items are searched for in several blocks.
     block_items: int = 4096
 
@@ -253,7 +257,8 @@ def _sum_matrices(size: int, rank: int):
 def candidates(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, r: Retrieval = Retrieval()) -> DataFrame:
     """(doc_id, item_id, cosine, run, lcs, item_words, facts): the best figures of every document and item with a candidate passage.
 
-    With in_a_row only pairs with a common run of `known` words come out, and lcs and facts are not looked into.
+    With in_a_row only pairs with a common run of `known` words come out, and lcs and facts are not looked into; without it the figures are the
+    best among the passage pairs that meet overlap, least_words and facts.
     run is the longest common run of words, lcs the longest common subsequence within a passage, item_words the words of the item's passage
     that was met, facts the share of that passage's rare words that the document's passage has (1 where it has none). Whole texts are read. NULL or blank texts and
     items, and rows without id, take no part; repeated rows change nothing; an empty side gives no rows. `items` is the evaluation set: its
@@ -291,6 +296,7 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
                     keep = run >= (r.known if r.in_a_row else 4)
                     pp, qq, run = pp[keep], qq[keep], run[keep]
                     e = exam.grid[qq]
+                    words = (e >= 0).sum(1)
                     if r.in_a_row:  # the run decides alone
                         lcs, facts = run, np.ones(len(run))
                     else:
@@ -298,7 +304,9 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
                         is_rare = (e >= 0) & rare[np.maximum(e, 0)]
                         has = (e[:, :, None] == g[pp][:, None, :]).any(2)
                         facts = np.where(is_rare.any(1), (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1), 1.0)
-                    found.append(pd.DataFrame({"doc_id": ids[pp], "item_id": numbers[exam.owner[qq]], "cosine": cosine[pp, qq].astype(float), "run": run, "lcs": lcs, "item_words": (e >= 0).sum(1), "facts": facts}))
+                    every = pd.DataFrame({"doc_id": ids[pp], "item_id": numbers[exam.owner[qq]], "cosine": cosine[pp, qq].astype(float), "run": run, "lcs": lcs, "item_words": words, "facts": facts})
+                    # each passage pair is judged before the best of a document and item is taken
+                    found.append(every if r.in_a_row else every[(lcs >= r.overlap * words) & (words >= r.least_words) & (facts >= r.facts)])
             if found:
                 every = pd.concat(found, ignore_index=True).sort_values(["run", "lcs", "cosine"], kind="stable").drop_duplicates(["doc_id", "item_id"], keep="last")
                 yield pa.RecordBatch.from_pandas(every.astype({"run": "int32", "lcs": "int32", "item_words": "int32"}), preserve_index=False)
@@ -318,5 +326,5 @@ def paraphrases(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
 
     `overlap` is the least share of the item's words in the common subsequence, `facts` the least share of its rare words.
     """
-    c = candidates(docs, doc_id, text, items, item_id, item_text, Retrieval(window=24, stride=12, known=12, in_a_row=False, rank=96, cosine=0.5))
-    return c.filter((F.col("lcs") >= overlap * F.col("item_words")) & (F.col("item_words") >= 8) & (F.col("facts") >= facts)).select(doc_id, item_id, "run", "lcs", "item_words", F.round("facts", 4).alias("facts"))
+    r = Retrieval(window=24, stride=12, known=12, in_a_row=False, rank=96, cosine=0.5, overlap=overlap, facts=facts, least_words=8)
+    return candidates(docs, doc_id, text, items, item_id, item_text, r).select(doc_id, item_id, "run", "lcs", "item_words", F.round("facts", 4).alias("facts"))
