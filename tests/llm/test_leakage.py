@@ -111,3 +111,12 @@ def test_paraphrase_behind_a_longer_run(spark):
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = L.paraphrases(d, "doc_id", "text", i, "item_id", "text", facts=0.0).collect()
     assert [(r.doc_id, r.item_id, r.run, r.lcs) for r in got] == [(1, 7, 5, 20)]
+
+
+def test_paraphrase_at_every_offset(spark):
+    _, i, _, items = tables(spark)
+    w = items[3][1].split()[:24]
+    kept = [x if k not in (4, 5, 6, 11, 12, 17, 18) else "other" for k, x in enumerate(w)]  # 17 of 24, in runs of four and five
+    d = spark.createDataFrame([(k, " ".join(["before"] * k + kept + ["behind"] * 30)) for k in range(25)], "doc_id long, text string")
+    got = L.paraphrases(d, "doc_id", "text", i, "item_id", "text", facts=0.0).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, 3) for k in range(25)}

@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from tidewheel.session import cut
 
 WORD = re.compile(r"[^\W_]+")
+#: Evaluation passages that are compared at once, to bound a worker's memory.
+STEP = 1024
 
 
 @dataclass(frozen=True)
 class Retrieval:
     """Passages of `window` words every `stride` words, of which at least `known` (in a row, with `in_a_row`) are words of the evaluation set;
-    `rank` latent dimensions from `rounds` rounds of subspace iteration; candidates have a latent cosine of at least `cosine`."""
+    `rank` latent dimensions from `rounds` rounds of subspace iteration; with in_a_row candidates have a latent cosine of at least `cosine`, without it as many common
+    words as their subsequence needs."""
 
     window: int = 16
     stride: int = 4
@@ -45,6 +48,11 @@ class Retrieval:
     #: Items whose vocabulary and passages are broadcast at once; more items are searched for in several blocks.
     block_items: int = 4096
 
+    @property
+    def reach(self) -> int:
+        """Words of a document's passage. Without in_a_row it is so wide that any `window` words of a text lie whole in one passage."""
+        return self.window if self.in_a_row else self.window + self.stride - 1
+
 
 @lru_cache(maxsize=1)
 def _format_characters() -> re.Pattern:
@@ -75,7 +83,7 @@ def passage_starts(ids: np.ndarray, r: Retrieval) -> np.ndarray:
         begins = np.flatnonzero(inside[r.known :] - inside[: -r.known] == r.known)
         return np.unique(begins // r.stride) * r.stride
     starts = np.arange(0, max(n - r.known, 0) + 1, r.stride)
-    return starts[inside[np.minimum(starts + r.window, n)] - inside[starts] >= r.known]
+    return starts[inside[np.minimum(starts + r.reach, n)] - inside[starts] >= r.known]
 
 
 def grid(ids: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -128,6 +136,40 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def _places(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each passage in order, and how often each stands before its place there."""
+    words = np.sort(g, axis=1)
+    before = np.zeros(words.shape, np.int64)
+    for j in range(1, words.shape[1]):
+        before[:, j] = (before[:, j - 1] + 1) * (words[:, j] == words[:, j - 1])
+    return words, before
+
+
+class Common:
+    """Counts the words that passages share with evaluation passages, repeated ones as often as both have them.
+
+    No common run or subsequence is longer than this count, so a pair that is left out for it cannot pass.
+    """
+
+    def __init__(self, passages: np.ndarray, size: int):
+        words, before = _places(passages)
+        known = words >= 0
+        self.most = int(before[known].max(initial=0)) + 1
+        keys, row = np.unique((words * self.most + before)[known], return_inverse=True)
+        self.row = np.zeros(size * self.most + 1, np.int64)  # row 0 is for what no passage has
+        self.row[keys] = 1 + np.arange(len(keys))
+        self.has = np.zeros((len(keys) + 1, len(passages)), np.int8 if passages.shape[1] < 128 else np.int16)
+        self.has[1 + row, np.nonzero(known)[0]] = 1
+
+    def count(self, g: np.ndarray) -> np.ndarray:
+        words, before = _places(g)
+        rows = self.row[np.where((words >= 0) & (before < self.most), words * self.most + before, -1)]
+        total = np.zeros((len(g), self.has.shape[1]), self.has.dtype)
+        for j in range(g.shape[1]):
+            total += self.has[rows[:, j]]
+        return total
+
+
 class Exam:
     """The evaluation items of one block: vocabulary, word ids, passages."""
 
@@ -141,6 +183,9 @@ class Exam:
             rows.append(grid(ids, starts, r.window))
             owner += [k] * len(starts)
         self.grid, self.owner = np.concatenate(rows), np.array(owner, np.int64)
+        words = (self.grid >= 0).sum(1)
+        #: Common words without which a passage cannot be met.
+        self.least = np.full(len(words), r.known) if r.in_a_row else np.where(words >= r.least_words, np.maximum(np.ceil(r.overlap * words), 1), r.window + 1).astype(np.int64)
 
 
 def _read_passages(exam: Exam, r: Retrieval):
@@ -158,7 +203,7 @@ def _read_passages(exam: Exam, r: Retrieval):
                 seen += np.bincount(np.unique(tile[known] * size + ids[known]) % size, minlength=size) if size else 0
                 starts = passage_starts(ids, r)
                 if len(starts) and doc is not None:
-                    docs.append(np.full(len(starts), doc)), places.append(starts), grids.append(grid(ids, starts, r.window))
+                    docs.append(np.full(len(starts), doc)), places.append(starts), grids.append(grid(ids, starts, r.reach))
             if docs:
                 yield _passage_batch(np.concatenate(docs), np.concatenate(places), np.concatenate(grids))
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([tiles], pa.int64()), pa.array([seen.tolist()], pa.list_(pa.int32()))], names=["doc_id", "at", "ids"])
@@ -205,7 +250,7 @@ def randomised_svd(passages: DataFrame, exam: Exam, idf: np.ndarray, r: Retrieva
         def fold(batches: Iterator[pa.RecordBatch], q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
             total = np.zeros((size, rank), np.float32)
             for batch in batches:
-                for _, g in _grids(batch, r.window, 2048):
+                for _, g in _grids(batch, r.reach, 2048):
                     _fold(g, idf, q, total)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
@@ -284,29 +329,38 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
     numbers = np.array([i for i, _ in exam.items], np.int64)
     rare = idf > (np.median(idf) if len(idf) else 1.0)
 
+    def judge(ids: np.ndarray, g: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+        """The passage pairs that pass: each one is judged before the best of a document and item is taken."""
+        words = (exam.grid[q] >= 0).sum(1)
+        if not r.in_a_row:
+            lcs = common_subsequence(g[p], exam.grid[q])
+            keep = (lcs >= r.overlap * words) & (words >= r.least_words)
+            p, q, words, lcs = p[keep], q[keep], words[keep], lcs[keep]
+        e = exam.grid[q]
+        run = common_run(g[p], e)
+        if r.in_a_row:  # the run decides alone
+            keep, lcs, facts = run >= r.known, run, np.ones(len(run))
+        else:
+            is_rare = (e >= 0) & rare[np.maximum(e, 0)]
+            has = (e[:, :, None] == g[p][:, None, :]).any(2)
+            facts = np.where(is_rare.any(1), (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1), 1.0)
+            keep = (run >= 4) & (facts >= r.facts)
+        p, q = p[keep], q[keep]
+        cosine = (vectors(g[p], idf, basis) * wanted[q]).sum(1).astype(float)
+        return pd.DataFrame({"doc_id": ids[p], "item_id": numbers[exam.owner[q]], "cosine": cosine, "run": run[keep], "lcs": lcs[keep], "item_words": words[keep], "facts": facts[keep]})
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for ids, g in _grids(batch, r.window):
-                cosine = vectors(g, idf, basis) @ wanted.T
-                p, q = np.nonzero(cosine >= r.cosine)
-                for a in range(0, len(p), 1 << 15):
-                    pp, qq = p[a : a + (1 << 15)], q[a : a + (1 << 15)]
-                    run = common_run(g[pp], exam.grid[qq])
-                    keep = run >= (r.known if r.in_a_row else 4)
-                    pp, qq, run = pp[keep], qq[keep], run[keep]
-                    e = exam.grid[qq]
-                    words = (e >= 0).sum(1)
-                    if r.in_a_row:  # the run decides alone
-                        lcs, facts = run, np.ones(len(run))
+            for lo in range(0, len(exam.grid), STEP):
+                common = None if r.in_a_row else Common(exam.grid[lo : lo + STEP], len(idf))
+                for ids, g in _grids(batch, r.reach):
+                    if r.in_a_row:
+                        p, q = np.nonzero(vectors(g, idf, basis) @ wanted[lo : lo + STEP].T >= r.cosine)
                     else:
-                        lcs = common_subsequence(g[pp], e)
-                        is_rare = (e >= 0) & rare[np.maximum(e, 0)]
-                        has = (e[:, :, None] == g[pp][:, None, :]).any(2)
-                        facts = np.where(is_rare.any(1), (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1), 1.0)
-                    every = pd.DataFrame({"doc_id": ids[pp], "item_id": numbers[exam.owner[qq]], "cosine": cosine[pp, qq].astype(float), "run": run, "lcs": lcs, "item_words": words, "facts": facts})
-                    # each passage pair is judged before the best of a document and item is taken
-                    found.append(every if r.in_a_row else every[(lcs >= r.overlap * words) & (words >= r.least_words) & (facts >= r.facts)])
+                        p, q = np.nonzero(common.count(g) >= exam.least[lo : lo + STEP])
+                    for a in range(0, len(p), 1 << 15):
+                        found.append(judge(ids, g, p[a : a + (1 << 15)], lo + q[a : a + (1 << 15)]))
             if found:
                 every = pd.concat(found, ignore_index=True).sort_values(["run", "lcs", "cosine"], kind="stable").drop_duplicates(["doc_id", "item_id"], keep="last")
                 yield pa.RecordBatch.from_pandas(every.astype({"run": "int32", "lcs": "int32", "item_words": "int32"}), preserve_index=False)
@@ -324,7 +378,9 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 def paraphrases(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, overlap: float = 0.7, facts: float = 0.5) -> DataFrame:
     """Documents with a passage that keeps most of an item's passage in order, though not letter for letter.
 
-    `overlap` is the least share of the item's words in the common subsequence, `facts` the least share of its rare words.
+    `overlap` is the least share of the item's words in the common subsequence, `facts` the least share of its rare words. A document's passages
+    are wider than the items', so that it does not matter where a paraphrase begins. A latent cosine would depend on what stands around it in
+    such a passage, so the count of common words, which no subsequence can exceed, picks the candidates.
     """
-    r = Retrieval(window=24, stride=12, known=12, in_a_row=False, rank=96, cosine=0.5, overlap=overlap, facts=facts, least_words=8)
+    r = Retrieval(window=24, stride=12, known=12, in_a_row=False, rank=96, overlap=overlap, facts=facts, least_words=8)
     return candidates(docs, doc_id, text, items, item_id, item_text, r).select(doc_id, item_id, "run", "lcs", "item_words", F.round("facts", 4).alias("facts"))
