@@ -120,3 +120,14 @@ def test_paraphrase_at_every_offset(spark):
     d = spark.createDataFrame([(k, " ".join(["before"] * k + kept + ["behind"] * 30)) for k in range(25)], "doc_id long, text string")
     got = L.paraphrases(d, "doc_id", "text", i, "item_id", "text", facts=0.0).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, 3) for k in range(25)}
+
+
+def test_paraphrase_without_runs(spark):
+    """Every fourth word is another one; and a short item, in a document with few words of the evaluation set."""
+    _, i, _, items = tables(spark)
+    w = items[3][1].split()[:24]
+    i = i.select("item_id", "text").union(spark.createDataFrame([(200, " ".join(f"q{k}" for k in range(9)))], "item_id long, text string"))
+    short = ["q0", "q1", "x", "q3", "q4", "y", "q6", "q7", "q8"]
+    d = spark.createDataFrame([(1, " ".join(x if k % 4 else "other" for k, x in enumerate(w))), (2, " ".join(["long"] * 7 + short + ["long"] * 40)), (3, " ".join(short))], "doc_id long, text string")
+    got = L.paraphrases(d, "doc_id", "text", i, "item_id", "text", facts=0.0).collect()
+    assert {(r.doc_id, r.item_id, r.run, r.lcs) for r in got} == {(1, 3, 3, 18), (2, 200, 3, 7), (3, 200, 3, 7)}

@@ -11,7 +11,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -29,9 +29,9 @@ STEP = 1024
 
 @dataclass(frozen=True)
 class Retrieval:
-    """Passages of `window` words every `stride` words, of which at least `known` (in a row, with `in_a_row`) are words of the evaluation set;
-    `rank` latent dimensions from `rounds` rounds of subspace iteration; with in_a_row candidates have a latent cosine of at least `cosine`, without it as many common
-    words as their subsequence needs."""
+    """Passages of `window` words every `stride` words, of which at least `known` (in a row, with `in_a_row`; without it, as many as the overlap
+    needs) are words of the evaluation set; `rank` latent dimensions from `rounds` rounds of subspace iteration; with in_a_row candidates have a
+    latent cosine of at least `cosine`, without it as many common words as their subsequence needs, and there is no latent space."""
 
     window: int = 16
     stride: int = 4
@@ -303,7 +303,7 @@ def candidates(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """(doc_id, item_id, cosine, run, lcs, item_words, facts): the best figures of every document and item with a candidate passage.
 
     With in_a_row only pairs with a common run of `known` words come out, and lcs and facts are not looked into; without it the figures are the
-    best among the passage pairs that meet overlap, least_words and facts.
+    best among the passage pairs that meet overlap, least_words and facts, and cosine is that of the TF-IDF vectors.
     run is the longest common run of words, lcs the longest common subsequence within a passage, item_words the words of the item's passage
     that was met, facts the share of that passage's rare words that the document's passage has (1 where it has none). Whole texts are read. NULL or blank texts and
     items, and rows without id, take no part; repeated rows change nothing; an empty side gives no rows. `items` is the evaluation set: its
@@ -320,12 +320,14 @@ def candidates(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
 
 def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[str]]], r: Retrieval) -> DataFrame:
     exam = Exam(known, r)
+    if not r.in_a_row:  # a document's passage with fewer evaluation words than any common subsequence needs cannot pass
+        r = replace(r, known=int(exam.least.min(initial=r.known)))
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     made = cut(read.mapInArrow(_read_passages(exam, r), "doc_id long, at long, ids array<int>"))
     idf = idf_of(made.filter("doc_id is null"), len(exam.vocabulary))
     passages = made.filter("doc_id is not null")
-    basis = randomised_svd(passages, exam, idf, r)
-    wanted = vectors(exam.grid, idf, basis)
+    basis = randomised_svd(passages, exam, idf, r) if r.in_a_row else None
+    wanted = vectors(exam.grid, idf, basis) if r.in_a_row else None
     numbers = np.array([i for i, _ in exam.items], np.int64)
     rare = idf > (np.median(idf) if len(idf) else 1.0)
 
@@ -340,14 +342,15 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
         run = common_run(g[p], e)
         if r.in_a_row:  # the run decides alone
             keep, lcs, facts = run >= r.known, run, np.ones(len(run))
+            cosine = (vectors(g[p], idf, basis) * wanted[q]).sum(1)
         else:
             is_rare = (e >= 0) & rare[np.maximum(e, 0)]
-            has = (e[:, :, None] == g[p][:, None, :]).any(2)
-            facts = np.where(is_rare.any(1), (is_rare & has).sum(1) / np.maximum(is_rare.sum(1), 1), 1.0)
-            keep = (run >= 4) & (facts >= r.facts)
+            equal = e[:, :, None] == g[p][:, None, :]
+            facts = np.where(is_rare.any(1), (is_rare & equal.any(2)).sum(1) / np.maximum(is_rare.sum(1), 1), 1.0)
+            keep = facts >= r.facts
+            cosine = np.einsum("pij,pi,pj->p", equal, _weights(e, idf), _weights(g[p], idf))  # unknown words weigh nothing
         p, q = p[keep], q[keep]
-        cosine = (vectors(g[p], idf, basis) * wanted[q]).sum(1).astype(float)
-        return pd.DataFrame({"doc_id": ids[p], "item_id": numbers[exam.owner[q]], "cosine": cosine, "run": run[keep], "lcs": lcs[keep], "item_words": words[keep], "facts": facts[keep]})
+        return pd.DataFrame({"doc_id": ids[p], "item_id": numbers[exam.owner[q]], "cosine": cosine[keep].astype(float), "run": run[keep], "lcs": lcs[keep], "item_words": words[keep], "facts": facts[keep]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,5 +385,5 @@ def paraphrases(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     are wider than the items', so that it does not matter where a paraphrase begins. A latent cosine would depend on what stands around it in
     such a passage, so the count of common words, which no subsequence can exceed, picks the candidates.
     """
-    r = Retrieval(window=24, stride=12, known=12, in_a_row=False, rank=96, overlap=overlap, facts=facts, least_words=8)
+    r = Retrieval(window=24, stride=12, known=12, in_a_row=False, overlap=overlap, facts=facts, least_words=8)
     return candidates(docs, doc_id, text, items, item_id, item_text, r).select(doc_id, item_id, "run", "lcs", "item_words", F.round("facts", 4).alias("facts"))
