@@ -105,3 +105,22 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.document_pairs(*S.shared_spans(df, "doc_id", "text")).count() == 0
     assert S.coverage(df, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_blocks_of_repeating_texts(seed):
+    """By blocks, a stretch that stands several times in the reference counts wherever its ends agree most."""
+    rng = np.random.default_rng(seed)
+    say = lambda k: "".join(rng.choice(list("abcdefghijklmnop "), k))
+    core, left, right = say(int(rng.integers(215, 240))), say(40), say(40)
+    copies = [(int(rng.integers(0, 20)), int(rng.integers(0, 20))) for _ in range(8)]
+    text = " ".join(say(9) + left[len(left) - x :] + core + right[:y] + say(9) for x, y in copies)
+    other = say(100) + left + core + right + say(100) + (core + right[:6]) * 2
+    for mine, theirs in ((text, other), (other, text)):
+        reference = S.Reference([(0, mine)])
+        got = reference.spans([(0, theirs)])
+        assert list(reference.forms) == [False]
+        assert all(mine[a : a + n] == theirs[b : b + n] and n >= 240 for a, b, n in got)
+        grams = {mine[i : i + 240] for i in range(len(mine) - 239)}
+        want = {p for i in range(len(theirs) - 239) if theirs[i : i + 240] in grams for p in range(i, i + 240)}
+        assert {p for _, b, n in got for p in range(b, b + n)} == want

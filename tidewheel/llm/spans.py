@@ -9,6 +9,7 @@ single characters; a match is then carried on character by character at both end
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -105,6 +106,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.end, self.cloned = [-1], [0], [-1], [False]
         self._children: list[list[int]] | None = None
+        self.symbols, self._by_follower = symbols, {}
         nxt, link, length, end, cloned = self.next, self.link, self.length, self.end, self.cloned
         last = 0
         for i, c in enumerate(symbols):
@@ -166,6 +168,36 @@ class Automaton:
         if size:
             yield len(symbols) - 1, size, v
 
+    def occurrences(self, symbols: list[int], starts: list[int]) -> Iterator[tuple[int, list[int]]]:
+        """(end, ends here): where symbols[starts[end] : end + 1] stands here and the next symbol does not carry the match on. Starts never fall."""
+        nxt, link, length = self.next, self.link, self.length
+        v = size = 0
+        for i, (c, start) in enumerate(zip(symbols, starts)):
+            while v and c not in nxt[v]:
+                v = link[v]
+                size = length[v]
+            if c in nxt[v]:
+                v = nxt[v][c]
+                size += 1
+            if size > i + 1 - start:
+                size = max(i + 1 - start, 0)
+                while v and length[link[v]] >= size:
+                    v = link[v]
+            if size and size == i + 1 - start:
+                after = symbols[i + 1] if i + 1 < len(symbols) else None
+                for symbol, ends in self._followers(v).items():
+                    if symbol != after or symbol is None:
+                        yield i, ends
+
+    def _followers(self, state: int) -> dict[int | None, list[int]]:
+        """The ends of a state's strings by the symbol behind them, None at the end of all."""
+        if state not in self._by_follower:
+            out: dict[int | None, list[int]] = {}
+            for end in self.ends(state):
+                out.setdefault(self.symbols[end + 1] if end + 1 < len(self.symbols) else None, []).append(end)
+            self._by_follower[state] = out
+        return self._by_follower[state]
+
 
 def block_bounds(text: str, fine: bool = False) -> list[int]:
     """Cuts of a text into blocks of about 8 characters, each placed by the four characters before it; with `fine` every character is one."""
@@ -202,18 +234,33 @@ class Reference:
             ids, seq, automaton = self._form(True)
             theirs = _Blocks(other, True, lambda b: ids.get(b, -1))
         found = set()
-        for end, size, state in automaton.matches(theirs.symbols):
-            lo, hi = theirs.bounds[end - size + 1][0], theirs.bounds[end][1]
-            room = theirs.width(end - size) + 4 + theirs.width(end + 1)
-            if hi - lo + room < self.min_chars:
-                continue
-            for mine in automaton.ends(state):
+        for lo, hi, ends in self._peaks(automaton, theirs) if seq.fine else self._cores(automaton, theirs):
+            for mine in ends:
                 here = seq.bounds[mine][1] - (hi - lo)
                 left, right = _extend(seq.text, here, here + hi - lo, theirs.text, lo, hi)
                 if hi - lo + left + right >= self.min_chars:
                     found.add((seq.origin(here - left), theirs.origin(lo - left), hi - lo + left + right))
         return sorted(found)
 
+    def _peaks(self, automaton: Automaton, theirs: _Blocks) -> Iterator[tuple[int, int, list[int]]]:
+        """Character by character, the longest matches cover all that is shared."""
+        for end, size, state in automaton.matches(theirs.symbols):
+            lo, hi = theirs.bounds[end - size + 1][0], theirs.bounds[end][1]
+            if hi - lo >= self.min_chars:
+                yield lo, hi, automaton.ends(state)
+
+    def _cores(self, automaton: Automaton, theirs: _Blocks) -> Iterator[tuple[int, int, list[int]]]:
+        """All places of the shortest stretches of blocks that can belong to a span of min_chars.
+
+        Such a span may go on in the blocks beside its whole ones, to the left up to four characters further, as a cut depends on these. So a
+        longer match of blocks elsewhere in the reference may give a shorter span, and every place has to be extended.
+        """
+        begin = [lo for lo, _ in theirs.bounds]
+        room = [hi for _, hi in theirs.bounds[1:]] + [hi for _, hi in theirs.bounds[-1:]]  # the end of the block behind
+        starts = [max(bisect_right(begin, hi + 4 - self.min_chars), 0) for hi in room]
+        for end, ends in automaton.occurrences(theirs.symbols, starts):
+            yield begin[starts[end]], theirs.bounds[end][1], ends
+
 
 class _Blocks:
     """Pieces as one text with breaks between them, cut into blocks; a break is a symbol that never matches."""
@@ -223,7 +270,7 @@ class _Blocks:
     def __init__(self, pieces: list[tuple[int, str]], fine: bool, symbol):
         self.text = self.BREAK.join(t for _, t in pieces)
         self.starts, self.symbols, self.bounds, self.widest = [], [], [], 0
-        at = 0
+        self.fine, at = fine, 0
         for k, (start, text) in enumerate(pieces):
             if k:
                 self.symbols.append(-2 - k)
@@ -237,9 +284,6 @@ class _Blocks:
                 self.widest = max(self.widest, hi - lo)
             at += len(text)
 
-    def width(self, block: int) -> int:
-        return self.bounds[block][1] - self.bounds[block][0] if 0 <= block < len(self.bounds) else 0
-
     def origin(self, at: int) -> int:
         """Place in the whole text of a place in the joined pieces."""
         base, start = max((b for b in self.starts if b[0] <= at), key=lambda b: b[0])
@@ -248,10 +292,14 @@ class _Blocks:
 
 def _extend(a: str, a_lo: int, a_hi: int, b: str, b_lo: int, b_hi: int) -> tuple[int, int]:
     """How many more characters agree to the left and to the right of equal stretches, up to a break."""
-    left, stop = 0, _Blocks.BREAK
+    left = right = 0
+    stop, step = _Blocks.BREAK, 64
+    while left + step <= min(a_lo, b_lo) and (part := a[a_lo - left - step : a_lo - left]) == b[b_lo - left - step : b_lo - left] and stop not in part:
+        left += step
     while left < a_lo and left < b_lo and a[a_lo - left - 1] == b[b_lo - left - 1] != stop:
         left += 1
-    right = 0
+    while (part := a[a_hi + right : a_hi + right + step]) == b[b_hi + right : b_hi + right + step] and len(part) == step and stop not in part:
+        right += step
     while a_hi + right < len(a) and b_hi + right < len(b) and a[a_hi + right] == b[b_hi + right] != stop:
         right += 1
     return left, right
