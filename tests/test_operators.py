@@ -125,6 +125,20 @@ def test_mixture_distance():
     assert sorted(m[:, 0]) == pytest.approx([0, 8], abs=0.3)
 
 
+def test_mixtures_of_large_groups(spark):
+    """Groups above the bound of a task are fitted on all their rows too."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (900, 2)), rng.normal(9, 2, (300, 2))])
+    rows = [(g, i, float(a), float(b)) for g in (1, None) for i, (a, b) in enumerate(x)] + [(2, i, float(a), float(b)) for i, (a, b) in enumerate(x[:100])] + [(1, 5000, None, 1.0)]
+    df = spark.createDataFrame(rows, "g int, i int, a double, b double")
+    whole, parts = ({(r.g, r.component): r for r in K.mixtures(df, ["g"], ["a", "b"], "i", rows_per_group=n).collect()} for n in (5000, 500))
+    assert parts.keys() == whole.keys() == {(1, 0), (1, 1), (None, 0), (None, 1), (2, 0)}
+    for k, r in parts.items():
+        assert r.n_rows == whole[k].n_rows == (100 if k[0] == 2 else 1200)
+        assert r.weight == pytest.approx(whole[k].weight, abs=1e-3)
+        assert r.means == pytest.approx(whole[k].means, abs=0.02)
+
+
 def test_state_machine(spark):
     assert simulate.step(0b101, 1, "single") == (0b011, 1, 1)
     assert simulate.step(0b111, 0, "walk") == (7, 0, 1)

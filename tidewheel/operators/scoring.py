@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import ship
+from tidewheel.session import cut, ship
 
 #: Query rows that are compared with the whole table at once: the bound of what is broadcast.
 QUERY_BLOCK = 4096
@@ -194,33 +194,136 @@ def fit_mixture(x: np.ndarray, k: int, seed: int = 42, starts: int = 3, rounds:
     return best
 
 
+def _expect(x: np.ndarray, w: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """Log-likelihood, then of each component the mass, the sums and the outer products around its mean, as one row of numbers: rows add up."""
+    d = x.shape[1]
+    root = np.linalg.cholesky(covs)
+    off = x[None] - means[:, None]
+    z = np.linalg.inv(root) @ off.transpose(0, 2, 1)
+    logp = (np.log(w) - np.log(np.diagonal(root, axis1=1, axis2=2)).sum(1) - 0.5 * d * np.log(2 * np.pi))[:, None] - 0.5 * (z * z).sum(1)
+    top = logp.max(0)
+    share = np.exp(logp - top)
+    total = share.sum(0)
+    r = share / total
+    outer = (off * r[:, :, None]).transpose(0, 2, 1) @ off
+    return np.concatenate([[(top + np.log(total)).sum()], r.sum(1), (r[:, :, None] * off).sum(1).ravel(), outer.ravel()])
+
+
+def _maximise(sums: np.ndarray, k: int, means: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(log-likelihood, weights, means, covariances) from the summed rows of _expect."""
+    d = means.shape[1]
+    mass = sums[1 : 1 + k] + 1e-9
+    shift = sums[1 + k : 1 + k + k * d].reshape(k, d) / mass[:, None]
+    covs = sums[1 + k + k * d :].reshape(k, d, d) / mass[:, None, None] - shift[:, :, None] * shift[:, None] + ridge
+    return float(sums[0]), mass / mass.sum(), means + shift, covs
+
+
+def fit_large_mixtures(rows: DataFrame, seeds: Mapping[int, np.ndarray], most: int, starts: int = 3, rounds: int = 60) -> dict[int, tuple[int, tuple]]:
+    """{g: (rows, fit)} with the best BIC among 1..most components, for rows (g, x) of groups too large for a task.
+
+    Every round is one pass: the tasks add up the statistics of all fits that still move, and only these sums reach the driver. The first
+    means are the group's rows in `seeds`; all else comes from all rows.
+    """
+    spark, d = rows.sparkSession, len(next(iter(seeds.values()))[0])
+
+    def sums(models: dict[tuple, tuple]) -> dict[tuple, np.ndarray]:
+        every = spark.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                for g, part in pdf.groupby("g"):
+                    x = np.stack(part["x"].to_numpy())
+                    for m, (w, means, covs) in every.value.items():
+                        if m[0] == g:
+                            total[m] = total.get(m, 0) + np.append(_expect(x, w, means, covs), len(x))
+            yield pd.DataFrame([(*m, j, v) for m, row in total.items() for j, v in enumerate(row)], columns=["g", "k", "s", "j", "v"]).astype({"g": "int64", "k": "int64", "s": "int64", "j": "int64", "v": "float64"})
+
+        out: dict[tuple, np.ndarray] = {}
+        parts = rows.mapInPandas(run, "g long, k long, s long, j long, v double")
+        for r in sorted(parts.groupBy("g", "k", "s", "j").agg(F.sum("v").alias("v")).collect()):
+            out.setdefault((r["g"], r["k"], r["s"]), []).append(r["v"])
+        every.unpersist()
+        return {m: np.array(v) for m, v in out.items()}
+
+    unit = {(g, 1, 0): (np.ones(1), x[:1], np.eye(d)[None]) for g, x in seeds.items()}
+    whole, live, best, n = sums(unit), {}, {}, {}
+    ridge = {}
+    for (g, _, _), row in whole.items():
+        n[g] = int(row[-1])
+        _, _, _, covs = _maximise(row[:-1], 1, seeds[g][:1], 0.0)
+        ridge[g] = 1e-6 * np.eye(d) * max(float(np.trace(covs[0])) / d, 1e-9)
+        rng = np.random.default_rng(42)
+        for k in range(1, most + 1):
+            for s in range(1 if k == 1 else starts):
+                live[g, k, s] = (np.full(k, 1 / k), seeds[g][rng.choice(len(seeds[g]), k, replace=False)], np.stack([covs[0] + ridge[g]] * k))
+    last: dict[tuple, float] = {}
+    fits: dict[tuple, tuple] = {}
+    for _ in range(rounds):
+        for m, row in sums(live).items():
+            fits[m] = _maximise(row[:-1], m[1], live[m][1], ridge[m[0]])
+            live[m] = fits[m][1:]
+            if fits[m][0] - last.get(m, -np.inf) < 1e-5 * n[m[0]]:
+                del live[m]
+            last[m] = fits[m][0]
+        if not live:
+            break
+    for (g, k, _), f in sorted(fits.items(), key=lambda x: x[0]):
+        bic = -2 * f[0] + _parameters(k, d) * np.log(n[g])
+        if g not in best or bic < best[g][0]:
+            best[g] = (bic, f)
+    return {g: (n[g], f) for g, (_, f) in best.items()}
+
+
+def _parameters(k: int, d: int) -> float:
+    return k * (1 + d + d * (d + 1) / 2) - 1
+
+
 def mixtures(df: DataFrame, group: Sequence[str], features: Sequence[str], key: str, most: int = 4, least_rows: int = 40, rows_per_group: int = 20_000) -> DataFrame:
     """(group, component, weight, n_rows, means) of the mixture with the best BIC among 1..most components, for groups of `least_rows` or more.
 
-    A fit is an iterative model and gets a bounded sample of its group: the rows_per_group rows with the smallest hash of `key`, chosen by a
-    rank that stops early map-side; smaller groups are used whole. n_rows counts the rows used. Rows with missing features take no part.
+    All rows without missing features are used. Groups of up to rows_per_group rows are fitted in a task each; larger ones by passes over all
+    their rows, which add up the statistics of a round where the rows are.
     """
     ship(df.sparkSession)
     ok = df.select(*group, key, *features).dropna(subset=list(features))
-    w = Window.partitionBy(*group).orderBy(F.xxhash64(key), key)
-    some = ok.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= rows_per_group)
     types = dict(df.dtypes)
+    schema = ", ".join(f"{g} {types[g]}" for g in group) + ", component int, weight double, n_rows long, means array<double>"
+    columns = [*group, "component", "weight", "n_rows", "means"]
+
+    def rows_of(names: Sequence, n: int, weights: np.ndarray, means: np.ndarray) -> list[list]:
+        return [[*names, i, float(weights[j]), n, means[j].tolist()] for i, j in enumerate(np.argsort(-weights))]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(key)[list(features)].to_numpy(float)
-        columns = [*group, "component", "weight", "n_rows", "means"]
         if len(x) < least_rows:
             return pd.DataFrame(columns=columns)
         scale = np.where(x.std(0) > 0, x.std(0), 1)
         best = None
         for k in range(1, most + 1):
             f = fit_mixture(x / scale, k)
-            d = x.shape[1]
-            bic = -2 * f[0] + (k * (1 + d + d * (d + 1) / 2) - 1) * np.log(len(x))
+            bic = -2 * f[0] + _parameters(k, x.shape[1]) * np.log(len(x))
             if best is None or bic < best[0]:
                 best = (bic, f)
         _, (_, weights, means, _) = best
-        order = np.argsort(-weights)
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), i, float(weights[j]), len(x), (means[j] * scale).tolist()] for i, j in enumerate(order)], columns=columns)
-
-    return some.groupBy(*group).applyInPandas(fit, ", ".join(f"{g} {types[g]}" for g in group) + ", component int, weight double, n_rows long, means array<double>")
+        return pd.DataFrame(rows_of([pdf[g].iloc[0] for g in group], len(x), weights, means * scale), columns=columns)
+
+    spreads = [F.stddev_pop(F.col(f).cast("double")).alias(f"__s{i}") for i, f in enumerate(features)]
+    large = ok.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), *spreads).filter((F.col("__n") > rows_per_group) & (F.col("__n") >= least_rows)).drop("__n").withColumn("__g", F.monotonically_increasing_id())
+    large = cut(large)
+    names = {r["__g"]: r for r in large.collect()}
+    if not names:
+        return ok.groupBy(*group).applyInPandas(fit, schema)
+    same = [ok[g].eqNullSafe(large[g]) for g in group]
+    small = ok.join(F.broadcast(large), same, "left_anti")
+    scaled = F.array(*[F.col(f).cast("double") / F.when(F.col(f"__s{i}") > 0, F.col(f"__s{i}")).otherwise(1.0) for i, f in enumerate(features)])
+    rows = cut(ok.join(F.broadcast(large), same).select(F.col("__g").alias("g"), F.xxhash64(key).alias("h"), ok[key].alias("key"), scaled.alias("x")))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h", "key"))).filter(F.col("n") <= 64)
+    seeds: dict[int, list] = {}
+    for r in first.orderBy("g", "n").select("g", "x").collect():
+        seeds.setdefault(r["g"], []).append(r["x"])
+    found = []
+    for g, (n, (_, weights, means, _)) in fit_large_mixtures(rows.select("g", "x"), {g: np.array(x) for g, x in seeds.items()}, most).items():
+        scale = np.array([names[g][f"__s{i}"] or 1.0 for i in range(len(features))])
+        found += rows_of([names[g][c] for c in group], n, weights, means * scale)
+    return small.groupBy(*group).applyInPandas(fit, schema).unionByName(df.sparkSession.createDataFrame(found, schema))
