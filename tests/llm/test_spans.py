@@ -124,3 +124,12 @@ def test_blocks_of_repeating_texts(seed):
         grams = {mine[i : i + 240] for i in range(len(mine) - 239)}
         want = {p for i in range(len(theirs) - 239) if theirs[i : i + 240] in grams for p in range(i, i + 240)}
         assert {p for _, b, n in got for p in range(b, b + n)} == want
+
+
+@pytest.mark.parametrize("letters", ["a", "abcdefghijklmnop "])
+def test_breaks_never_match(letters):
+    """Pieces that agree on both sides of a break share two short stretches, not one long one."""
+    rng = np.random.default_rng(1)
+    first, second = ("".join(rng.choice(list(letters), 150)) for _ in range(2))
+    reference = S.Reference([(0, "1" * 20 + first), (900, second + "2" * 20)])
+    assert reference.spans([(0, "3" * 20 + first), (700, second + "4" * 20)]) == []

@@ -222,7 +222,7 @@ class Reference:
     def _form(self, fine: bool):
         if fine not in self.forms:
             ids: dict[str, int] = {}
-            seq = _Blocks(self.pieces, fine, lambda b: ids.setdefault(b, len(ids)))
+            seq = _Blocks(self.pieces, fine, lambda b: ids.setdefault(b, len(ids)), odd=True)
             self.forms[fine] = ids, seq, Automaton(seq.symbols)
         return self.forms[fine]
 
@@ -263,17 +263,17 @@ class Reference:
 
 
 class _Blocks:
-    """Pieces as one text with breaks between them, cut into blocks; a break is a symbol that never matches."""
+    """Pieces as one text with breaks between them, cut into blocks; a break is a symbol that never matches: odd ones stand in the reference."""
 
     BREAK = "\U0010FFFF"
 
-    def __init__(self, pieces: list[tuple[int, str]], fine: bool, symbol):
+    def __init__(self, pieces: list[tuple[int, str]], fine: bool, symbol, odd: bool = False):
         self.text = self.BREAK.join(t for _, t in pieces)
         self.starts, self.symbols, self.bounds, self.widest = [], [], [], 0
         self.fine, at = fine, 0
         for k, (start, text) in enumerate(pieces):
             if k:
-                self.symbols.append(-2 - k)
+                self.symbols.append(-2 * k - odd)
                 self.bounds.append((at, at + 1))
                 at += 1
             self.starts.append((at, start))
