@@ -131,3 +131,10 @@ def test_paraphrase_without_runs(spark):
     d = spark.createDataFrame([(1, " ".join(x if k % 4 else "other" for k, x in enumerate(w))), (2, " ".join(["long"] * 7 + short + ["long"] * 40)), (3, " ".join(short))], "doc_id long, text string")
     got = L.paraphrases(d, "doc_id", "text", i, "item_id", "text", facts=0.0).collect()
     assert {(r.doc_id, r.item_id, r.run, r.lcs) for r in got} == {(1, 3, 3, 18), (2, 200, 3, 7), (3, 200, 3, 7)}
+
+
+def test_found_whatever_the_rank(spark):
+    """A latent space too small for the evaluation set loses nothing."""
+    d, i, _, _ = tables(spark)
+    pairs = lambda r: {(x.doc_id, x.item_id) for x in L.candidates(d, "doc_id", "text", i, "item_id", "text", r).collect()}
+    assert pairs(L.Retrieval(rank=2, cosine=0.9)) == pairs(L.Retrieval()) != set()

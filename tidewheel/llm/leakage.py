@@ -30,8 +30,8 @@ STEP = 1024
 @dataclass(frozen=True)
 class Retrieval:
     """Passages of `window` words every `stride` words, of which at least `known` (in a row, with `in_a_row`; without it, as many as the overlap
-    needs) are words of the evaluation set; `rank` latent dimensions from `rounds` rounds of subspace iteration; with in_a_row candidates have a
-    latent cosine of at least `cosine`, without it as many common words as their subsequence needs, and there is no latent space."""
+    needs) are words of the evaluation set; `rank` latent dimensions from `rounds` rounds of subspace iteration; candidates have as many
+    common words as the run or subsequence needs, or with in_a_row a latent cosine of at least `cosine`; without it there is no latent space."""
 
     window: int = 16
     stride: int = 4
@@ -145,6 +145,15 @@ def _places(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, before
 
 
+def _run_hashes(g: np.ndarray, known: int) -> np.ndarray:
+    """Hash of every run of `known` words of each passage; equal runs have equal hashes."""
+    n = max(g.shape[1] - known + 1, 0)
+    h = np.zeros((len(g), n), np.uint64)
+    for j in range(known if n else 0):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (g[:, j : j + n] + 3).astype(np.uint64)
+    return h
+
+
 class Common:
     """Counts the words that passages share with evaluation passages, repeated ones as often as both have them.
 
@@ -329,6 +338,7 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
     basis = randomised_svd(passages, exam, idf, r) if r.in_a_row else None
     wanted = vectors(exam.grid, idf, basis) if r.in_a_row else None
     numbers = np.array([i for i, _ in exam.items], np.int64)
+    runs = np.unique(_run_hashes(exam.grid, r.known)) if r.in_a_row else None
     rare = idf > (np.median(idf) if len(idf) else 1.0)
 
     def judge(ids: np.ndarray, g: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
@@ -342,7 +352,8 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
         run = common_run(g[p], e)
         if r.in_a_row:  # the run decides alone
             keep, lcs, facts = run >= r.known, run, np.ones(len(run))
-            cosine = (vectors(g[p], idf, basis) * wanted[q]).sum(1)
+            cosine = np.zeros(len(run))
+            cosine[keep] = (vectors(g[p[keep]], idf, basis) * wanted[q[keep]]).sum(1)
         else:
             is_rare = (e >= 0) & rare[np.maximum(e, 0)]
             equal = e[:, :, None] == g[p][:, None, :]
@@ -355,13 +366,17 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
+            parts = [(ids, g, vectors(g, idf, basis) if r.in_a_row else None) for ids, g in _grids(batch, r.reach)]
             for lo in range(0, len(exam.grid), STEP):
-                common = None if r.in_a_row else Common(exam.grid[lo : lo + STEP], len(idf))
-                for ids, g in _grids(batch, r.reach):
+                common = Common(exam.grid[lo : lo + STEP], len(idf))
+                for ids, g, y in parts:
                     if r.in_a_row:
-                        p, q = np.nonzero(vectors(g, idf, basis) @ wanted[lo : lo + STEP].T >= r.cosine)
+                        near = y @ wanted[lo : lo + STEP].T >= r.cosine
+                        sure = np.flatnonzero(np.isin(_run_hashes(g, r.known), runs).any(1))  # passages with a run of some item
+                        near[sure] |= common.count(g[sure]) >= exam.least[lo : lo + STEP]
                     else:
-                        p, q = np.nonzero(common.count(g) >= exam.least[lo : lo + STEP])
+                        near = common.count(g) >= exam.least[lo : lo + STEP]
+                    p, q = np.nonzero(near)
                     for a in range(0, len(p), 1 << 15):
                         found.append(judge(ids, g, p[a : a + (1 << 15)], lo + q[a : a + (1 << 15)]))
             if found:
