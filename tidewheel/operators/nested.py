@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -282,21 +282,24 @@ def _rows(index: Index, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarra
     n = len(index.kind)
     code = np.full(n, -1, np.int64)
     code[op] = index.keys(op - 1, names)
-    # Of a repeated key in one object the last counts, as JSON readers have it.
-    if len(op):
-        named = op[code[op] >= 0]
-        pair = index.parent[named] * len(names) + code[named]
-        keep = np.ones(len(named), bool)
-        order = np.lexsort((named, pair))
-        same = pair[order][1:] == pair[order][:-1]
-        keep[order[:-1][same]] = False
-        code[named[~keep]] = -1
+    # Of a repeated key in one object the last value counts, be it a scalar, as JSON readers have it.
+    colons = np.flatnonzero(index.kind == COLON)
+    colon_code = index.keys(colons, names)
+    colons, colon_code = colons[colon_code >= 0], colon_code[colon_code >= 0]
+    pair = index.holder[colons] * len(names) + colon_code
+    order = np.lexsort((colons, pair))
+    over = np.zeros(n + 1, bool)
+    over[colons[order[:-1][pair[order][1:] == pair[order][:-1]]]] = True
+    code[op[over[op - 1]]] = -1
     # role: 2*level for an object, 2*level+1 for the list of a level; WRAP for a wrapper
     wrap = 2 * len(shape.levels)
     role = np.full(n, -1, np.int64)
     by_depth = op[np.argsort(index.depth[op], kind="stable")]
     bounds = np.searchsorted(index.depth[by_depth], np.arange(1, (index.depth[by_depth].max() if len(op) else 0) + 2))
     root = next(i for i, x in enumerate(shape.levels) if x.parent is None)
+    # A document has one root list: what stands under the root's key counts, even null, and only objects without that key are looked through.
+    told = np.zeros(n, bool)
+    told[index.holder[colons[colon_code == names.index(shape.levels[root].key)]]] = True
     of_name = {x.node: i for i, x in enumerate(shape.levels)}
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         o = by_depth[lo:hi]
@@ -306,7 +309,7 @@ def _rows(index: Index, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarra
         r[(above == -2) & ~is_list] = wrap
         r[(above == -2) & is_list] = 2 * root + 1
         for name in shape.wrappers:
-            hit = (above == wrap) & (code[o] == names.index(name))
+            hit = (above == wrap) & (code[o] == names.index(name)) & ~told[np.maximum(parent, 0)]
             r[hit] = np.where(is_list[hit], 2 * root + 1, wrap)
         for i, level in enumerate(shape.levels):
             hit = (above == (wrap if level.parent is None else 2 * of_name[level.parent])) & (code[o] == names.index(level.key))
@@ -375,6 +378,15 @@ def _fields(index: Index, shape: Shape, objects: np.ndarray, level: np.ndarray)
     return {k: list(v.items()) for k, v in out.items()}
 
 
+def branch(shape: Shape, node: str) -> Shape:
+    """The levels from the root down to `node`, with the attributes of `node` alone: what its flat table needs."""
+    of_name, keep, at = {x.node: x for x in shape.levels}, [], node
+    while at is not None:
+        keep.append(at)
+        at = of_name[at].parent
+    return Shape(tuple(replace(x, attributes=x.attributes if x.node == node else ()) for x in shape.levels if x.node in keep), shape.wrappers)
+
+
 def linked_rows(df: DataFrame, record_id: str, payload: str, shape: Shape, latest_by: str | None = None) -> DataFrame:
     """One row per object of each record's document: (<record_id>, node, node_path, parent_node, parent_path, attributes map).
 
@@ -411,7 +423,10 @@ def _as_structs(run):
 
 
 def flat_tables(rows: DataFrame, record_id: str, shape: Shape, types: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
-    """One flat table per level: record id, own path, parent's path, and the level's attributes, cast where `types` names a type.
+    """One flat table per level: record id, own path, path of its parent's row, and the level's attributes, cast where `types` names a type.
+
+    A level that is not listed has its parent's path for its own, and still names its parent. To write several tables, cut `rows` first, so
+    that payloads are read once.
 
     A value that cannot be read as its type is NULL.
     """
@@ -420,6 +435,6 @@ def flat_tables(rows: DataFrame, record_id: str, shape: Shape, types: Mapping[st
     for lv in shape.levels:
         fields = [F.col("attributes")[a].try_cast(types.get(a, "string")).alias(a) for a in lv.attributes]
         own = [F.col("node_path").alias(f"{lv.node}_path")]
-        link = [F.col("parent_path").alias(f"{lv.parent}_path")] if lv.parent and lv.listed else []
+        link = [F.col("parent_path").alias(f"{lv.parent}_path")] if lv.parent else []
         tables[lv.node] = rows.filter(F.col("node") == lv.node).select(record_id, *own, *link, *fields)
     return tables

@@ -3,20 +3,22 @@
 Every value gets all its valid interpretations (order of day and month x zone of a wall time) as an array, built by expressions inside the
 JVM. The interpretation that counts is chosen by Viterbi over the records of a source in their order: breaking a declared convention costs
 most, then switching the convention between neighbouring records, then a jump back in time. Chunks of the record order are solved side by
-side: each contributes a small (min, +) matrix, the matrices are chained, and every chunk is then decoded from its known ends.
+side, in a task as across tasks: each contributes a small (min, +) matrix, one best path is walked through the chain of matrices, and every
+chunk is then decoded between the states which that path has at its ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.session import cut
+from tidewheel.session import cut, ship
 
 # Zone names as stamps write them. Letters for a region mean its wall time, the others are fixed offsets.
 WALL_ZONES = {"ET": "America/New_York", "CT": "America/Chicago", "MT": "America/Denver", "PT": "America/Los_Angeles"}
@@ -44,11 +46,6 @@ def _split(text: Column, pattern: str, groups: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, SEP.join(f"${i}" for i in range(1, groups + 1))), SEP)
 
 
-def _opaque(value: Column) -> Column:
-    """`value` itself, in a form that keeps filters above it where they stand: pushed down they would repeat all its steps many times over."""
-    return F.when(F.rand(0) >= 0, value)
-
-
 def _int(text: Column) -> Column:
     return F.when(text != "", text).cast("int")
 
@@ -89,7 +86,7 @@ def with_date_readings(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumns({"__a": plain, "__b": F.when(F.col("__slash"), day(F.col("__y"), F.col("__d"), F.col("__m")))})
     one = lambda o, c: F.when(F.col(c).isNotNull(), F.struct(o.alias("ord"), F.col(c).alias("day")))
     first = F.when(F.col("__slash"), "mdy").otherwise("")
-    return df.withColumn(out, _opaque(F.array_compact(F.array(one(first, "__a"), one(F.lit("dmy"), "__b"))))).select(*names, out)
+    return df.withColumn(out, F.array_compact(F.array(one(first, "__a"), one(F.lit("dmy"), "__b")))).select(*names, out)
 
 
 def with_instant_readings(df: DataFrame, text: str, out: str, venue_zone: str | None = None, day: str | None = None) -> DataFrame:
@@ -136,7 +133,7 @@ def with_instant_readings(df: DataFrame, text: str, out: str, venue_zone: str |
     at = lambda x, z: F.struct(x["ord"].alias("ord"), z["zone"].alias("zone"), _ntz_micros(F.convert_timezone(z["name"], F.lit("UTC"), x["w"])).alias("at"))
     read = F.flatten(F.transform("__walls", lambda x: F.transform("__zones", lambda z: at(x, z))))
     epoch = F.array(F.struct(F.lit("").alias("ord"), F.lit("own").alias("zone"), F.col("__epoch").alias("at")))
-    return df.withColumn(out, _opaque(F.when(F.col("__epoch").isNotNull(), epoch).otherwise(F.coalesce(read, F.array().cast("array<struct<ord:string,zone:string,at:bigint>>"))))).select(*names, out)
+    return df.withColumn(out, F.when(F.col("__epoch").isNotNull(), epoch).otherwise(F.coalesce(read, F.array().cast("array<struct<ord:string,zone:string,at:bigint>>")))).select(*names, out)
 
 
 def _ntz_micros(w: Column) -> Column:
@@ -160,7 +157,8 @@ def utc_text(micros: Column) -> Column:
 class Convention:
     """What a source declares about its stamps: order 'mdy' or 'dmy' of slash dates, and zone 'utc', 'ny' or 'venue' of wall times.
 
-    None leaves the question to the Viterbi search over the source's records. With `strict`, other readings are impossible.
+    None leaves the question to the Viterbi search over the source's records. A reading that breaks what is declared costs PENALTY["prior"] for
+    each part; with `strict` it is impossible.
     """
 
     order: str | None = None
@@ -170,29 +168,23 @@ class Convention:
 
 ORDERS, ZONES = ("mdy", "dmy"), ("utc", "ny", "venue")
 STATES = [(o, z) for o in ORDERS for z in ZONES]
+K = len(STATES)
+#: Stands for "this state does not read the value" among the instants.
+NONE = -(1 << 63)
+
 
+def per_state(readings: Column) -> list[Column]:
+    """The instant that each state reads, or NONE: the columns at0, at1, ... of the states in order."""
+    fits = lambda o, z: F.filter(readings, lambda x: ((x["ord"] == "") | (x["ord"] == o)) & ((x["zone"] == "own") | (x["zone"] == z)))
+    return [F.coalesce(F.try_element_at(fits(o, z), F.lit(1))["at"], F.lit(NONE)).alias(f"at{s}") for s, (o, z) in enumerate(STATES)]
 
-def _costs(sources: pd.Series, readings: pd.Series, conventions: dict[str, Convention], default: Convention) -> tuple[np.ndarray, np.ndarray]:
-    """(n x states) emission costs, infinite where a state does not read the value, and the instants read."""
-    n = len(readings)
-    cost, at = np.full((n, len(STATES)), np.inf), np.zeros((n, len(STATES)), np.int64)
-    rows, orders, zones, ats = [], [], [], []
-    for i, values in enumerate(readings):
-        for v in values:
-            rows.append(i), orders.append(v["ord"]), zones.append(v["zone"]), ats.append(v["at"])
-    row, order, zone, when = np.array(rows, np.int64), np.array(orders, object), np.array(zones, object), np.array(ats, np.int64)
-    for s, (o, z) in enumerate(STATES):
-        fits = ((order == "") | (order == o)) & ((zone == "own") | (zone == z))
-        cost[row[fits], s] = 0
-        at[row[fits], s] = when[fits]
-    names = sources.to_numpy()
-    for name in pd.unique(sources):
-        c, mine = conventions.get(name, default), np.flatnonzero(names == name)
-        for s, (o, z) in enumerate(STATES):
-            wrong = (c.order not in (None, o)) + (c.zone not in (None, z))
-            if wrong:
-                cost[mine, s] += np.inf if c.strict else wrong * PENALTY["prior"]
-    return cost, at
+
+def _costs(source: str, at: np.ndarray, conventions: dict[str, Convention], default: Convention) -> np.ndarray:
+    """(n x states) emission costs of the records of one source, infinite where a state does not read the value."""
+    c = conventions.get(source, default)
+    wrong = np.array([(c.order not in (None, o)) + (c.zone not in (None, z)) for o, z in STATES], float)
+    prior = np.where(wrong > 0, np.inf, 0.0) if c.strict else wrong * PENALTY["prior"]
+    return np.where(at == NONE, np.inf, prior[None, :])
 
 
 #: Cost of the convention switches between two states.
@@ -200,52 +192,83 @@ SWITCHES = PENALTY["switch"] * np.array([[(a[0] != b[0]) + (a[1] != b[1]) for b
 
 
 def _steps(at_before: np.ndarray, at_now: np.ndarray) -> np.ndarray:
-    """Cost of going from each state of one record to each state of the next."""
-    return SWITCHES + PENALTY["back"] * (at_now[None, :] < at_before[:, None])
+    """Cost of going from each state of one record to each state of the next; leading axes are records."""
+    return SWITCHES + PENALTY["back"] * (at_now[..., None, :] < at_before[..., :, None])
+
+
+def _bounds(n: int) -> np.ndarray:
+    """Cuts of n records into chunks whose number is about their length."""
+    size = max(int(np.ceil(np.sqrt(n))), 1)
+    return np.append(np.arange(0, n, size), n)
+
+
+def _matrices(cost: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(chunks x states x states): cost from each state of a chunk's first record to each state of its last, all chunks side by side."""
+    lo, size = bounds[:-1], np.diff(bounds)
+    d = np.full((len(lo), K, K), np.inf)
+    d[:, np.arange(K), np.arange(K)] = cost[lo]
+    for j in range(1, int(size.max(initial=0))):
+        on = np.flatnonzero(size > j)
+        i = lo[on] + j
+        d[on] = (d[on][:, :, :, None] + _steps(at[i - 1], at[i])[:, None]).min(2) + cost[i][:, None, :]
+    return d
+
+
+def _walk(matrices: np.ndarray, joints: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) states of every chunk on one best path through all of them: ties are settled once, so that chunks fit together."""
+    n = len(matrices)
+    reach, after = np.zeros((n, K)), np.zeros((n, K))  # best cost of arriving in a chunk's first state, and of its last state
+    reach[0] = entry
+    for c in range(n):
+        if c:
+            reach[c] = (after[c - 1][:, None] + joints[c - 1]).min(0)
+        after[c] = (reach[c][:, None] + matrices[c]).min(0)
+        after[c] -= after[c].min() if np.isfinite(after[c].min()) else 0.0
+    first, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for c in range(n - 1, -1, -1):
+        last[c] = np.argmin(after[c] + (leave if c == n - 1 else joints[c][:, first[c + 1]]))
+        first[c] = np.argmin(reach[c] + matrices[c][:, last[c]])
+    return first, last
+
+
+def _fill(cost: np.ndarray, at: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Best state of every record of all chunks side by side, between the given states at their ends."""
+    lo, size = bounds[:-1], np.diff(bounds)
+    best = np.full((len(lo), K), np.inf)
+    best[np.arange(len(lo)), first] = cost[lo, first]
+    back = np.zeros(cost.shape, np.int64)
+    for j in range(1, int(size.max(initial=0))):
+        on = np.flatnonzero(size > j)
+        i = lo[on] + j
+        reach = best[on][:, :, None] + _steps(at[i - 1], at[i])
+        back[i] = reach.argmin(1)
+        best[on] = reach.min(1) + cost[i]
+    state, now = np.zeros(len(cost), np.int64), last.copy()
+    for j in range(int(size.max(initial=0)) - 1, -1, -1):
+        on = np.flatnonzero(size > j)
+        i = lo[on] + j
+        state[i] = now[on]
+        now[on] = back[i, now[on]]
+    return state
 
 
 def _transfer(cost: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(min, +) matrix from the state of the first record to the state of the last."""
-    d = np.full((len(STATES),) * 2, np.inf)
-    np.fill_diagonal(d, cost[0])
-    forced = np.isfinite(cost).sum(1) == 1
-    i, n = 1, len(cost)
-    while i < n:
-        if forced[i] and forced[i - 1]:  # between forced records every path is the same, so a run of them is one jump
-            j = i
-            while j + 1 < n and forced[j + 1]:
-                j += 1
-            a, b = int(np.argmin(cost[i - 1])), int(np.argmin(cost[j]))
-            through = d[:, a].copy()
-            d = np.full_like(d, np.inf)
-            d[:, b] = through
-            i = j + 1
-            continue
-        d = (d[:, :, None] + _steps(at[i - 1], at[i])[None]).min(1) + cost[i][None]
-        i += 1
+    bounds = _bounds(len(cost))
+    parts = _matrices(cost, at, bounds)
+    d = parts[0]
+    for m, i in zip(parts[1:], bounds[1:-1]):
+        over = (d[:, :, None] + _steps(at[i - 1], at[i])[None]).min(1)
+        d = (over[:, :, None] + m[None]).min(1)
     return d
 
 
 def _decode(cost: np.ndarray, at: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> np.ndarray:
     """Best state of every record, given the cost of being in each state at the first record and after the last."""
-    n = len(cost)
-    forced = np.isfinite(cost).sum(1) == 1
-    if forced.all():
-        return cost.argmin(1)
-    best, back = cost[0] + entry, np.zeros((n, len(STATES)), np.int64)
-    for i in range(1, n):
-        if forced[i] and forced[i - 1]:
-            back[i] = int(np.argmin(cost[i - 1]))
-            best = np.where(np.isfinite(cost[i]), 0.0, np.inf)
-            continue
-        reach = best[:, None] + _steps(at[i - 1], at[i])
-        back[i] = reach.argmin(0)
-        best = reach.min(0) + cost[i]
-    state = np.zeros(n, np.int64)
-    state[-1] = int(np.argmin(best + leave))
-    for i in range(n - 1, 0, -1):
-        state[i - 1] = back[i, state[i]]
-    return state
+    bounds = _bounds(len(cost))
+    inner = bounds[1:-1]
+    first, last = _walk(_matrices(cost, at, bounds), _steps(at[inner - 1], at[inner]), entry, leave)
+    return _fill(cost, at, bounds, first, last)
 
 
 def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,79 +284,79 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def choose_readings(df: DataFrame, source: str, order: Sequence[str], readings: str, conventions: dict[str, Convention], default: Convention = Convention()) -> DataFrame:
+def choose_readings(df: DataFrame, source: str, order: Sequence[str], readings: str, conventions: dict[str, Convention], default: Convention = Convention(), unread: bool = False) -> DataFrame:
     """`df` with the chosen reading of every value: columns read_order, read_zone and read_at (UTC micros) instead of `readings`.
 
-    Records of a source are taken in the order of `order` (make it total; ties fall to the engine). Values without any reading under their
-    source's strict convention are left out: they denote no instant. A NULL source is a source of its own. One source may hold any share of
-    all rows: the order is cut into ranges of even size, each range is solved in its own task, and the driver only chains one matrix of
-    len(STATES) x len(STATES) for each end of a range.
+    Records of a source are taken in the order of `order` (make it total; ties fall to the engine). Values without any possible reading
+    denote no instant: they are left out, or with `unread` come out with NULLs where no state reads them. A NULL source is a source of its own. One source may hold any share of all rows: the order is cut into
+    ranges of even size, each range is solved in its own task, and the driver only chains one matrix of len(STATES) x len(STATES) for each
+    end of a range and fixes one state on either side of every joint.
     """
+    ship(df.sparkSession)
     names = df.columns
     keep = [c for c in names if c != readings]
     src = F.coalesce(F.col(source).cast("string"), F.lit("\u0000"))
     # The readings are written down first: the range partitioner samples its input, and a filter over them would be pushed into their making.
-    work = cut(df.select(src.alias("source"), F.struct(*order).alias("ord"), F.struct(*keep).alias("row"), F.col(readings).alias("readings")))
-    placed = cut(work.filter(F.size("readings") > 0).repartitionByRange("source", "ord").sortWithinPartitions("source", "ord").withColumn("part", F.spark_partition_id()))
-    slim = placed.select("part", "source", "readings")
+    work = cut(df.select(src.alias("source"), F.struct(*order).alias("ord"), F.struct(*keep).alias("row"), *per_state(F.col(readings))))
+    some = reduce(lambda a, b: a | b, [F.col(f"at{s}") != NONE for s in range(K)])
+    placed = cut(work.filter(some).repartitionByRange("source", "ord").sortWithinPartitions("source", "ord").withColumn("part", F.spark_partition_id()))
+    slim = ["part", "source", *[f"at{s}" for s in range(K)]]
+
+    def solved(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = g[slim[2:]].to_numpy(np.int64)
+        cost = _costs(g["source"].iloc[0], at, conventions, default)
+        able = np.isfinite(cost).any(1)
+        return able, cost[able], at[able]
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, last = None, None
         for g in _groups(batches):  # only the sources at the two ends of a range can go on in another
             first, last = (g, None) if first is None else (first, g)
         for g in (x for x in (first, last) if x is not None):
-            cost, at = _costs(g["source"], g["readings"], conventions, default)
-            able = np.isfinite(cost).any(1)
-            if not able.any():
-                continue
-            cost, at = cost[able], at[able]
-            m = _transfer(cost, at)
-            yield pd.DataFrame({"part": [int(g["part"].iloc[0])], "source": [g["source"].iloc[0]], "matrix": [m.ravel().tolist()], "first": [at[0].tolist()], "last": [at[-1].tolist()]})
+            able, cost, at = solved(g)
+            if able.any():
+                yield pd.DataFrame({"part": [int(g["part"].iloc[0])], "source": [g["source"].iloc[0]], "matrix": [_transfer(cost, at).ravel().tolist()], "first": [at[0].tolist()], "last": [at[-1].tolist()]})
 
-    pieces = slim.mapInPandas(ends, "part int, source string, matrix array<double>, first array<long>, last array<long>").collect()
+    pieces = placed.select(*slim).mapInPandas(ends, "part int, source string, matrix array<double>, first array<long>, last array<long>").collect()
     known = _chain(pieces)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches):
-            cost, at = _costs(g["source"], g["readings"], conventions, default)
-            able = np.isfinite(cost).any(1)
+            able, cost, at = solved(g)
             if not able.any():
                 continue
-            g, cost, at = g[able].copy(), cost[able], at[able]
-            entry, leave = known.get((int(g["part"].iloc[0]), g["source"].iloc[0]), (np.zeros(len(STATES)), np.zeros(len(STATES))))
+            entry, leave = known.get((int(g["part"].iloc[0]), g["source"].iloc[0]), ([0.0] * K, [0.0] * K))
             state = _decode(cost, at, np.asarray(entry), np.asarray(leave))
-            g["read_order"], g["read_zone"] = [STATES[s][0] for s in state], [STATES[s][1] for s in state]
+            g = g[able].copy()
+            g["read_order"], g["read_zone"] = np.array([o for o, _ in STATES], object)[state], np.array([z for _, z in STATES], object)[state]
             g["read_at"] = at[np.arange(len(g)), state]
             yield g[["row", "read_order", "read_zone", "read_at"]]
 
     row_type = placed.schema["row"].dataType.simpleString()
-    done = placed.select("part", "source", "readings", "row").mapInPandas(decode, f"row {row_type}, read_order string, read_zone string, read_at long")
+    done = placed.select(*slim, "row").mapInPandas(decode, f"row {row_type}, read_order string, read_zone string, read_at long")
+    if unread:
+        done = done.unionByName(work.filter(~some).select("row", *[F.lit(None).cast(t).alias(c) for c, t in (("read_order", "string"), ("read_zone", "string"), ("read_at", "long"))]))
     return done.select("row.*", "read_order", "read_zone", "read_at")
 
 
+def as_declared(source: Column, conventions: dict[str, Convention]) -> Column:
+    """Whether a chosen reading (read_order, read_zone) is one that its source declares: the exact check behind conventions that are not strict."""
+    told = [(name, part, value) for name, c in conventions.items() for part, value in (("read_order", c.order), ("read_zone", c.zone)) if value is not None]
+    broken = [(source == name) & (F.col(part) != value) for name, part, value in told]
+    return ~F.coalesce(reduce(lambda a, b: a | b, broken, F.lit(False)), F.lit(False))
+
+
 def _chain(pieces: Sequence) -> dict[tuple[int, str], tuple[list[float], list[float]]]:
-    """Per piece of a source that spans several ranges: cost of each first state from the left, and of each last state to the right."""
+    """Per piece of a source: costs of its first and of its last states, infinite but for the ones on one best path through all its pieces."""
     by_source: dict[str, list] = {}
     for p in sorted(pieces, key=lambda r: r["part"]):
         by_source.setdefault(p["source"], []).append(p)
+    only = lambda s: np.where(np.arange(K) == s, 0.0, np.inf).tolist()
     out = {}
-    k = len(STATES)
     for source, parts in by_source.items():
-        matrices = [np.array(p["matrix"]).reshape(k, k) for p in parts]
-        joints = [_steps(np.array(a["last"]), np.array(b["first"])) for a, b in zip(parts, parts[1:])]
-        left = [np.zeros(k)]
-        for m, j in zip(matrices, joints):
-            after = (left[-1][:, None] + m).min(0)
-            left.append(_level((after[:, None] + j).min(0)))
-        right = [np.zeros(k)]
-        for m, j in zip(matrices[:0:-1], joints[::-1]):
-            before = (m + right[-1][None, :]).min(1)
-            right.append(_level((j + before[None, :]).min(1)))
-        for p, a, b in zip(parts, left, right[::-1]):
-            out[p["part"], source] = (a.tolist(), b.tolist())
+        matrices = np.array([p["matrix"] for p in parts]).reshape(len(parts), K, K)
+        joints = _steps(np.array([p["last"] for p in parts[:-1]], np.int64).reshape(-1, K), np.array([p["first"] for p in parts[1:]], np.int64).reshape(-1, K))
+        first, last = _walk(matrices, joints, np.zeros(K), np.zeros(K))
+        for p, a, b in zip(parts, first, last):
+            out[p["part"], source] = (only(a), only(b))
     return out
-
-
-def _level(x: np.ndarray) -> np.ndarray:
-    """Costs only count against each other."""
-    return x - x.min() if np.isfinite(x).any() else np.zeros_like(x)

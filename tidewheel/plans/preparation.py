@@ -36,8 +36,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(level: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = nested.linked_rows(read(spark, sf_dir, "offers_raw"), "record_id", "payload", OFFERS, "received_at")
-        return nested.flat_tables(rows, "record_id", OFFERS, OFFER_TYPES)[level]
+        shape = nested.branch(OFFERS, level)
+        rows = nested.linked_rows(read(spark, sf_dir, "offers_raw"), "record_id", "payload", shape, "received_at")
+        return nested.flat_tables(rows, "record_id", shape, OFFER_TYPES)[level]
 
     query.__name__ = f"p1_{level}s"
     return query
@@ -45,25 +46,32 @@ def _flat(level: str):
 
 # What the feeds declare about their stamps.
 FEEDS = {
-    "statsapi": stamps.Convention("mdy", "utc"),
-    "intl": stamps.Convention("dmy", "utc"),
-    "primary": stamps.Convention("mdy", "utc"),
-    "desk": stamps.Convention("mdy", "ny"),
-    "mirror": stamps.Convention("mdy", "ny"),
-    "park": stamps.Convention("mdy", "venue"),
+    "statsapi": stamps.Convention("mdy", "utc", strict=False),
+    "intl": stamps.Convention("dmy", "utc", strict=False),
+    "primary": stamps.Convention("mdy", "utc", strict=False),
+    "desk": stamps.Convention("mdy", "ny", strict=False),
+    "mirror": stamps.Convention("mdy", "ny", strict=False),
+    "park": stamps.Convention("mdy", "venue", strict=False),
 }
 
 
-def with_official_day(games: DataFrame) -> DataFrame:
-    """`games` with `day`: the date its officialdate denotes under its feed's order of day and month, or NULL."""
-    dmy = F.col("feed").isin(*[name for name, c in FEEDS.items() if c.order == "dmy"])
-    fits = F.filter("__days", lambda x: (x["ord"] == "") | (x["ord"] == F.when(dmy, "dmy").otherwise("mdy")))
-    return stamps.with_date_readings(games, "officialdate", "__days").withColumn("day", F.try_element_at(fits, F.lit(1))["day"]).drop("__days")
+def _by_source(fields: tuple[str, ...], conventions: dict[str, stamps.Convention]) -> dict[str, stamps.Convention]:
+    return {f"{f}/{feed}": c for f in fields for feed, c in conventions.items()}
 
 
-def official_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games with their official day, written down once: two results are made of it."""
-    return cut(with_official_day(read(spark, sf_dir, "schedule_games").select("schedule_id", "gamedate", "officialdate", "feed", "venue_id", "updated_at").distinct()))
+def official_days(spark: SparkSession, sf_dir: str, conventions: dict[str, stamps.Convention] = FEEDS) -> DataFrame:
+    """Games with `day`, the date that their officialdate denotes, or NULL; written down once, as two results are made of it.
+
+    The dates of a feed go through the same search as instants do; a date that only reads against its feed's rule is none.
+    """
+    games = read(spark, sf_dir, "schedule_games").select("schedule_id", "gamedate", "officialdate", "feed", "venue_id", "updated_at").distinct()
+    values = stamps.with_date_readings(games, "officialdate", "days").withColumn("source", F.concat_ws("/", F.lit("officialdate"), "feed"))
+    micros = lambda d: F.datediff(d, F.lit("1970-01-01").cast("date")).cast("long") * 86400000000
+    readings = F.transform("days", lambda x: F.struct(x["ord"].alias("ord"), F.lit("own").alias("zone"), micros(x["day"]).alias("at")))
+    rules = _by_source(("officialdate",), conventions)
+    chosen = stamps.choose_readings(values.withColumn("days", readings), "source", ["updated_at", "schedule_id", "officialdate"], "days", rules, unread=True)
+    day = F.when(stamps.as_declared(F.col("source"), rules), F.date_add(F.lit("1970-01-01").cast("date"), (F.col("read_at") / 86400000000).cast("int")))
+    return cut(chosen.select(*games.columns, day.alias("day")))
 
 
 def stamp_values(spark: SparkSession, sf_dir: str, games: DataFrame) -> DataFrame:
@@ -81,24 +89,30 @@ def stamp_values(spark: SparkSession, sf_dir: str, games: DataFrame) -> DataFram
     return values.select("field", "row_id", "node_path", "feed", "seen", "readings")
 
 
+INSTANTS = ("gamedate", "scheduled", "created")
+
+
 def _instants(spark: SparkSession, sf_dir: str, conventions: dict[str, stamps.Convention], games: DataFrame) -> DataFrame:
     values = stamp_values(spark, sf_dir, games).withColumn("source", F.concat_ws("/", "field", "feed"))
-    by_source = {f"{f}/{feed}": c for f in ("gamedate", "scheduled", "created") for feed, c in conventions.items()}
-    return stamps.choose_readings(values, "source", ["seen", "row_id", "node_path"], "readings", by_source)
+    return stamps.choose_readings(values, "source", ["seen", "row_id", "node_path"], "readings", _by_source(INSTANTS, conventions))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings of every stamp compete in the search; what it could only read against its feed's rules is then checked out."""
     games = official_days(spark, sf_dir)
-    chosen = _instants(spark, sf_dir, FEEDS, games)
+    chosen = _instants(spark, sf_dir, FEEDS, games).filter(stamps.as_declared(F.col("source"), _by_source(INSTANTS, FEEDS)))
     instants = chosen.select("field", "row_id", "node_path", stamps.utc_text(F.col("read_at")).alias("norm"))
     days = games.select(F.lit("officialdate").alias("field"), F.col("schedule_id").alias("row_id"), F.lit("").alias("node_path"), F.date_format("day", "yyyy-MM-dd").alias("norm"))
     return instants.unionByName(days.filter("norm is not null")).distinct()
 
 
+#: The feeds without their order of day and month: only the path through each source's records can tell it.
+LOOSE = {name: stamps.Convention(None, c.zone, strict=False) for name, c in FEEDS.items()}
+
+
 def p2_inferred_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the search finds out about each source when no order of day and month is declared: how many values it reads each way."""
-    loose = {k: stamps.Convention(None, c.zone) for k, c in FEEDS.items()}
-    chosen = _instants(spark, sf_dir, loose, official_days(spark, sf_dir))
+    chosen = _instants(spark, sf_dir, LOOSE, official_days(spark, sf_dir, LOOSE))
     return chosen.groupBy("source", "read_order", "read_zone").agg(F.count(F.lit(1)).alias("n_values"))
 
 
