@@ -85,7 +85,9 @@ def stamp_values(spark: SparkSession, sf_dir: str, games: DataFrame) -> DataFram
     created = nested.linked_rows(raw, "record_id", "payload", shape, "received_at").filter("node = 'opening_line'").select("record_id", "node_path", F.col("attributes")["created"].alias("created"))
     feeds = raw.filter(F.col("record_id").isNotNull()).groupBy("record_id").agg(F.max(F.struct("received_at", "feed"))["feed"].alias("feed"), F.max("received_at").alias("seen"))
     line = rows(created.filter("created is not null").join(feeds, "record_id"), "created", "record_id", F.col("node_path"), "seen", "created")
-    values = stamps.with_instant_readings(game.unionByName(event).unionByName(line), "text", "readings", "tz_name", "day")
+    # The slim rows are spread by key: the readings are the work here, and their steps would be planned once for each table below the union.
+    texts = game.unionByName(event).unionByName(line).repartition("row_id", "node_path")
+    values = stamps.with_instant_readings(texts, "text", "readings", "tz_name", "day")
     return values.select("field", "row_id", "node_path", "feed", "seen", "readings")
 
 
@@ -160,16 +162,13 @@ ENTITIES = {
 }
 
 
-def _versions(spark: SparkSession, sf_dir: str, entity: str, group: str) -> DataFrame:
-    table, key, groups, required = ENTITIES[entity]
-    return history.history(read(spark, sf_dir, table), key, "snapshot_date", "updated_at", groups[group], required[group])
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions from satellites that are split by measured change rates, with ends from a lead-based view."""
     out = None
     for entity, group in (("manager", "assignment"), ("team", "venue")):
-        v = _versions(spark, sf_dir, entity, group)
-        v = v.select(F.lit(entity).alias("entity"), F.col(ENTITIES[entity][1]).cast("long").alias("entity_id"), F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"))
+        table, key, groups, required = ENTITIES[entity]
+        v = history.split_history(read(spark, sf_dir, table), key, "snapshot_date", "updated_at", groups[group], required[group])
+        v = v.select(F.lit(entity).alias("entity"), F.col(key).cast("long").alias("entity_id"), F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"))
         out = v if out is None else out.unionByName(v)
     return out
 
