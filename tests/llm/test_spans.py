@@ -85,12 +85,28 @@ def test_pairs_and_coverage(spark, letters):
     assert cov == {**{i: (len(t), covered[i]) for i, t in texts.items()}, 105: (0, 0)}
 
 
-def test_many_copies_stay_linked(spark, monkeypatch):
-    monkeypatch.setattr(S, "COPIES", 3)
+def test_many_copies(spark):
+    """All pairs where they are asked for, whatever the number of copies; as classes, each copy with its representative."""
     text = "the same long text for everyone, "
-    df = spark.createDataFrame([(i, text) for i in range(8)] + [(20, text + "and a little more")], "doc_id long, text string")
-    got = {(r.doc_id_a, r.doc_id_b) for r in S.document_pairs(*S.shared_spans(df, "doc_id", "text", LEAST)).collect()}
-    assert got == {(0, 1), (0, 2), (1, 2), (0, 20), (1, 20), (2, 20), *((0, i) for i in range(3, 8))}
+    df = spark.createDataFrame([(i, text) for i in range(80)] + [(200, text + "and a little more")], "doc_id long, text string")
+    found = S.shared_spans(df, "doc_id", "text", LEAST, one=True)
+    pairs = lambda d: {(r.doc_id_a, r.doc_id_b) for r in d.collect()}
+    assert pairs(S.document_pairs(*found)) == {(i, j) for i in range(80) for j in [*range(i + 1, 80), 200]}
+    assert pairs(S.document_pairs(*found, copies="classes")) == {(0, i) for i in [*range(1, 80), 200]}
+    assert {tuple(r) for r in S.classes(*found).collect()} == {(i, 0, 80, 1) for i in range(80)} | {(200, 200, 1, 1)}
+
+
+def test_boilerplate_in_many_texts(spark, monkeypatch):
+    """A span of very many texts: pairs are dealt out in blocks, and coverage matches each text with a few others only."""
+    monkeypatch.setattr(S, "PARTNERS", 4)
+    rng = np.random.default_rng(3)
+    say = lambda k: "".join(rng.choice(list("abcdefghij "), k))
+    core = say(40)
+    texts = {i: say(30) + core + say(30) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans, members = S.shared_spans(df, "doc_id", "text", LEAST)
+    assert {(r.doc_id_a, r.doc_id_b) for r in S.document_pairs(spans, members).collect()} == brute(texts)[0]
+    assert {r.doc_id: r.shared_chars for r in S.coverage(df, "doc_id", "text", LEAST).collect()} == brute(texts)[1]
 
 
 def test_pieces_of_long_texts(monkeypatch):

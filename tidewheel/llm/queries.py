@@ -42,14 +42,22 @@ def p7_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.paraphrases(*_leak_tables(spark, sf_dir))
 
 
+def _shared(spark: SparkSession, sf_dir: str) -> tuple:
+    return spans.shared_spans(read(spark, sf_dir, "documents"), "doc_id", "text", one=True)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, members = spans.shared_spans(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return spans.document_pairs(found, members)
+    return spans.document_pairs(*_shared(spark, sf_dir))
+
+
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its class of equal texts and how many other texts share a span with it."""
+    return spans.classes(*_shared(spark, sf_dir))
 
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.coverage(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p6_containers": p6_containers, "p7_found": p7_found, "p7_paraphrases": p7_paraphrases, "p8_found": p8_found, "p8_coverage": p8_coverage}
+QUERIES = {"p5_found": p5_found, "p5_nearest": p5_nearest, "p6_containers": p6_containers, "p7_found": p7_found, "p7_paraphrases": p7_paraphrases, "p8_found": p8_found, "p8_classes": p8_classes, "p8_coverage": p8_coverage}
 SQL: dict[str, str] = {}

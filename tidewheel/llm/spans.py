@@ -16,10 +16,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import cut, parallelism
+from tidewheel.session import cut, parallelism, ship
 
 MIN_CHARS = 240
 #: Characters that are hashed at once, to bound a worker's memory; longer texts go through in overlapping pieces.
@@ -226,8 +226,11 @@ class Reference:
             self.forms[fine] = ids, seq, Automaton(seq.symbols)
         return self.forms[fine]
 
-    def spans(self, other: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
-        """(start here, start there, length) of the maximal spans of at least min_chars that `other` shares with the reference."""
+    def spans(self, other: list[tuple[int, str]], one: bool = False) -> list[tuple[int, int, int]]:
+        """(start here, start there, length) of the maximal spans of at least min_chars that `other` shares with the reference.
+
+        With `one` the first that is found is enough.
+        """
         ids, seq, automaton = self._form(False)
         theirs = _Blocks(other, False, lambda b: ids.get(b, -1))
         if max(seq.widest, theirs.widest) > self.min_chars // 3:  # a stretch without cuts: blocks would not do
@@ -240,6 +243,8 @@ class Reference:
                 left, right = _extend(seq.text, here, here + hi - lo, theirs.text, lo, hi)
                 if hi - lo + left + right >= self.min_chars:
                     found.add((seq.origin(here - left), theirs.origin(lo - left), hi - lo + left + right))
+                    if one:
+                        return list(found)
         return sorted(found)
 
     def _peaks(self, automaton: Automaton, theirs: _Blocks) -> Iterator[tuple[int, int, list[int]]]:
@@ -335,6 +340,7 @@ def text_classes(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_C
     Only texts of min_chars or more can share a span; NULL, empty and shorter ones take no part. Repeated rows change nothing; doc_id names
     one text.
     """
+    ship(docs.sparkSession)
     rows = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) >= min_chars)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = cut(rows.mapInArrow(_anchor_rows(min_chars), "doc_id long, same binary, at array<int>, hash array<long>"))
     reps = made.groupBy("same").agg(F.min("doc_id").alias("rep"))
@@ -385,28 +391,17 @@ def _piece_rows(min_chars: int):
     return run
 
 
-#: Partners that one task matches against one reference; a reference with more is built in several tasks.
+#: Partners that one task matches against one reference, and holders of an anchor that one task pairs; more are spread over several tasks.
 PARTNERS = 256
 
 
-def shared_spans(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS, both_ways: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(spans, members): spans (a, b, a_start, b_start, length) of at least min_chars that the texts a < b share, and (doc_id, rep).
-
-    Spans are maximal and stand between representatives of distinct texts; members says which document has which text. Every pair that shares
-    a span has at least one row. With `both_ways` each pair is matched in both directions, so that either text's covered places are complete;
-    then a and b come in both orders. An empty table, or one without long texts, gives no rows.
-    """
+def _stretches(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, places, pieces): text classes, the anchors (hash, doc_id, at) that several texts have, and the stretches of text around them."""
     anchors, members = text_classes(docs, doc_id, text, min_chars)
-    anchors = anchors.select("doc_id", "at", "hash")
     shared = anchors.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash")
-    places = cut(anchors.join(shared, "hash", "left_semi"))
-    holders = places.select("hash", "doc_id").distinct()
-    other = holders.select("hash", F.col("doc_id").alias("b"))
-    meets = (F.col("a") != F.col("b")) if both_ways else (F.col("a") < F.col("b"))
-    pairs = holders.select("hash", F.col("doc_id").alias("a")).join(other, "hash").filter(meets).select("a", "b").distinct()
+    places = cut(anchors.select("doc_id", "at", "hash").join(shared, "hash", "left_semi"))
     wanted = places.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    spark = docs.sparkSession
-    sieve = spark.sparkContext.broadcast(_bitmap(wanted.select("doc_id")))
+    sieve = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("doc_id")))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(sieve.value)
@@ -415,12 +410,20 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_C
 
     whole = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) >= min_chars)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     likely = whole.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")).mapInArrow(sift, "doc_id long, text string")
-    pieces = cut(likely.join(wanted, "doc_id").select("doc_id", "at", "text").mapInArrow(_piece_rows(min_chars), "doc_id long, starts array<int>, texts array<string>"))
-    slots = pairs.withColumn("slot", F.floor((F.row_number().over(_by("a", "b")) - 1) / PARTNERS).cast("int"))
-    slots = cut(slots)
+    pieces = cut(likely.join(wanted, "doc_id").select("doc_id", "at", "text").mapInArrow(_piece_rows(min_chars), "doc_id long, starts array<int>, texts array<string>").dropDuplicates(["doc_id"]))
+    return members, places, pieces
+
+
+def _matched(pairs: DataFrame, pieces: DataFrame, min_chars: int, one: bool) -> DataFrame:
+    """(a, b, a_start, b_start, length) of the spans that each pair (a, b) shares, found by streaming b through the automaton of a.
+
+    The partners of a reference are dealt out by hash into shards of about PARTNERS, so a reference with any number of them is spread.
+    """
+    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("shards"))
+    slots = cut(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shards")).cast("int").alias("slot")))
     partners = slots.join(pieces.withColumnRenamed("doc_id", "b"), "b").select("a", "slot", F.lit(1).alias("kind"), F.col("b").alias("doc"), "starts", "texts")
     references = slots.select("a", "slot").distinct().join(pieces.withColumnRenamed("doc_id", "a"), "a").select("a", "slot", F.lit(0).alias("kind"), F.col("a").alias("doc"), "starts", "texts")
-    ordered = references.unionByName(partners).repartition(parallelism(spark), "a", "slot").sortWithinPartitions("a", "slot", "kind", "doc")
+    ordered = references.unionByName(partners).repartition(parallelism(pairs.sparkSession), "a", "slot").sortWithinPartitions("a", "slot", "kind", "doc")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reference, of = None, None
@@ -431,48 +434,87 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_C
                 if kind == 0:
                     reference, of = Reference(pieces_of, min_chars), (a, slot)
                 elif of == (a, slot):
-                    out.extend((a, doc, here, there, size) for here, there, size in reference.spans(pieces_of))
+                    out.extend((a, doc, here, there, size) for here, there, size in reference.spans(pieces_of, one))
             yield pd.DataFrame(out, columns=["a", "b", "a_start", "b_start", "length"]).astype("int64")
 
-    return ordered.mapInPandas(match, "a long, b long, a_start long, b_start long, length long"), members
-
-
-def _by(key: str, order: str):
-    from pyspark.sql import Window
+    return ordered.mapInPandas(match, "a long, b long, a_start long, b_start long, length long")
 
-    return Window.partitionBy(key).orderBy(order)
 
+def shared_spans(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS, one: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(spans, members): spans (a, b, a_start, b_start, length) of at least min_chars that the texts a < b share, and (doc_id, rep).
 
-#: Copies of one text whose pairs are written out one by one; beyond it, a copy is linked to its representative only.
-COPIES = 64
+    Spans are maximal and stand between representatives of distinct texts; members says which document has which text. Every pair that shares
+    a span has at least one row, with `one` exactly one. Pairs are made anchor by anchor; the holders of an anchor that very many texts have
+    are paired in blocks, so that no task gets all of them. An empty table, or one without long texts, gives no rows.
+    """
+    members, places, pieces = _stretches(docs, doc_id, text, min_chars)
+    holders = places.select("hash", "doc_id").distinct()
+    blocks = holders.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / (4 * PARTNERS)).alias("blocks"))
+    dealt = cut(holders.join(blocks, "hash"))
+    one_side = dealt.select("hash", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), F.col("doc_id").alias("a"))
+    other = dealt.select("hash", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("doc_id").alias("b"))
+    pairs = one_side.join(other, ["hash", "block"]).filter("a < b").select("a", "b").distinct()
+    return _matched(pairs, pieces, min_chars, one), members
 
 
-def document_pairs(spans: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: all pairs of documents that share a span.
+def document_pairs(spans: DataFrame, members: DataFrame, copies: str = "all") -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: the pairs of documents that share a span.
 
-    Links between distinct texts hold for their copies too, and copies share everything. Up to COPIES copies of a text are written out in
-    full; any further copy comes out in the pair with its representative, which carries all links of that text. So the result grows with the
-    documents and their links and not with the square of the copies, and no link is lost.
+    Links between distinct texts hold for their copies too, and copies share everything. With `copies` "all" every pair of documents is written
+    out; with "classes" the pairs of representatives, and each copy with its own representative, from which all others follow: this form
+    grows with the documents and their links, not with the square of the copies.
     """
-    ranked = members.withColumn("n", F.row_number().over(_by("rep", "doc_id")))
-    few, rest = ranked.filter(F.col("n") <= COPIES).select("doc_id", "rep"), ranked.filter(F.col("n") > COPIES).select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))
     links = spans.select("a", "b").distinct()
-    across = links.join(few.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), "a").join(few.select(F.col("rep").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
-    copies = few.select("rep", F.col("doc_id").alias("x")).join(few.select("rep", F.col("doc_id").alias("y")), "rep").filter("x < y").select("x", "y")
-    both = across.unionByName(copies).unionByName(rest)
-    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).filter("doc_id_a < doc_id_b").distinct()
+    ordered = lambda df: df.filter("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    if copies == "classes":
+        return ordered(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(members.select(F.col("rep").alias("x"), F.col("doc_id").alias("y"))))
+    x, y = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
+    across = links.join(x, "a").join(y, "b").select("x", "y")
+    within = x.join(y.withColumnRenamed("b", "a"), "a").filter("x < y").select("x", "y")
+    return ordered(across.unionByName(within))
+
+
+def classes(spans: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links): every document of min_chars or more once, with the smallest document of its text, the documents of that text, and
+    the other texts that share a span with it."""
+    links = spans.select("a", "b").distinct()
+    n = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    per = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n_copies")).join(n, "rep", "left")
+    return members.join(per, "rep").select("doc_id", F.col("rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _window_rows(min_chars: int):
+    """Two hashes of every stretch of min_chars characters in the pieces of a text, each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, texts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                for lo_text in texts:
+                    points = code_points(lo_text)
+                    for lo in range(0, max(len(points) - min_chars + 1, 1), PIECE):
+                        part = points[lo : lo + PIECE + min_chars - 1]
+                        both = np.stack([window_hashes(part, min_chars), window_hashes(part ^ np.uint32(0x5A5A5A), min_chars)], 1) if len(part) >= min_chars else np.zeros((0, 2), np.uint64)
+                        both = np.unique(both, axis=0).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), doc, np.int64))], names=["h", "g", "doc_id"])
+
+    return run
 
 
 def coverage(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_chars, shared_chars, n_spans) of every document with an id: how many of its characters stand in a span shared with another.
 
-    A copy of another document is shared as a whole. Texts that are NULL or too short share nothing.
+    Coverage needs no pairs of all texts that share a span. Every stretch of min_chars characters that several texts have names one of them
+    (the smallest, or for that one the largest), and a text is matched with those that its stretches name: as many pairs at most as it has
+    such stretches, whatever the number of texts that have them. n_spans counts the places of the spans so found. A copy of another document is shared as a whole. Texts that are NULL or too short share nothing.
     """
-    spans, members = shared_spans(docs, doc_id, text, min_chars, both_ways=True)
-    # In each direction the second text's places are complete.
+    members, _, pieces = _stretches(docs, doc_id, text, min_chars)
+    windows = cut(pieces.mapInArrow(_window_rows(min_chars), "h long, g long, doc_id long"))
+    shared = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    partner = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    pairs = windows.join(shared, ["h", "g"]).select(partner.alias("a"), F.col("doc_id").alias("b")).distinct()
+    spans = _matched(pairs, pieces, min_chars, False)
+    # The second text's places are complete.
     ends = spans.select(F.col("b").alias("rep"), F.col("b_start").alias("s"), (F.col("b_start") + F.col("length")).alias("e")).distinct()
-    from pyspark.sql import Window
-
     w = Window.partitionBy("rep").orderBy("s", "e")
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     added = ends.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("s", "before")))
