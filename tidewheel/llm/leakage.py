@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.session import cut
+from tidewheel.session import cut, ship
 
 WORD = re.compile(r"[^\W_]+")
 #: Evaluation passages that are compared at once, to bound a worker's memory.
@@ -41,12 +41,13 @@ class Retrieval:
     rounds: int = 2
     cosine: float = 0.25
     seed: int = 5
-    #: Without in_a_row: least share of an item passage's words in the common subsequence, of its rare words, and least length of such a passage.
+    #: Without in_a_row: least share of an item passage's words in the common subsequence, of its words by rarity, and least length of such a passage.
     overlap: float = 0.0
     facts: float = 0.0
     least_words: int = 0
-    #: Items whose vocabulary and passages are broadcast at once; more items are searched for in several blocks.
+    #: Items, and words of items, whose vocabulary and passages travel to the tasks at once; more are searched for in several blocks.
     block_items: int = 4096
+    block_words: int = 200_000
 
     @property
     def reach(self) -> int:
@@ -246,8 +247,8 @@ def idf_of(stats: DataFrame, size: int) -> np.ndarray:
 def randomised_svd(passages: DataFrame, exam: Exam, idf: np.ndarray, r: Retrieval) -> np.ndarray:
     """(words x rank) orthonormal basis of the leading right singular vectors of the corpus passages, by subspace iteration.
 
-    Each task folds its passages into one (words x columns) matrix A'(A Q); the matrices are summed in a tree of tasks, so the driver gets at
-    most a few however large the corpus is. The evaluation passages start the iteration together with random directions.
+    Each task folds its passages into one (words x columns) matrix A'(A Q); the matrices are summed in a tree of tasks, so the driver gets one
+    however large the corpus is. The evaluation passages start the iteration together with random directions.
     """
     size = len(idf)
     rank = min(r.rank, size)
@@ -265,7 +266,7 @@ def randomised_svd(passages: DataFrame, exam: Exam, idf: np.ndarray, r: Retrieva
 
         parts = passages.mapInArrow(fold, "m binary")
         width = passages.rdd.getNumPartitions()
-        while width > 16:
+        while width > 1:
             width = -(-width // 16)
             parts = parts.repartition(width).mapInArrow(_sum_matrices(size, rank), "m binary")
         total = np.zeros((size, rank), np.float32)
@@ -314,19 +315,34 @@ def candidates(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     With in_a_row only pairs with a common run of `known` words come out, and lcs and facts are not looked into; without it the figures are the
     best among the passage pairs that meet overlap, least_words and facts, and cosine is that of the TF-IDF vectors.
     run is the longest common run of words, lcs the longest common subsequence within a passage, item_words the words of the item's passage
-    that was met, facts the share of that passage's rare words that the document's passage has (1 where it has none). Whole texts are read. NULL or blank texts and
+    that was met, facts the share of that passage's words, each counted by its rarity, that the document's passage has (1 where none is rare). Whole texts are read. NULL or blank texts and
     items, and rows without id, take no part; repeated rows change nothing; an empty side gives no rows. `items` is the evaluation set: its
     words, not the corpus, set the size of what is broadcast, in blocks of at most block_items.
     """
     rows = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    ship(docs.sparkSession)
     out = None
-    known = [(x["i"], w) for x in rows.orderBy("i", "t").toLocalIterator() if (w := words_of(x["t"]))]
-    for lo in range(0, max(len(known), 1), r.block_items):
-        part = _block(docs, doc_id, text, known[lo : lo + r.block_items], r)
+    for block in _blocks(((x["i"], words_of(x["t"])) for x in rows.orderBy("i", "t").toLocalIterator()), r):
+        part = _block(docs, doc_id, text, block, r)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "cosine", "run", "lcs", "item_words", "facts")
 
 
+def _blocks(items: Iterator[tuple[int, list[str]]], r: Retrieval) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items with words in blocks of at most block_items items and block_words words, or one item; one empty block if there are none."""
+    block, size, given = [], 0, False
+    for i, w in items:
+        if not w:
+            continue
+        if block and (len(block) == r.block_items or size + len(w) > r.block_words):
+            yield block
+            block, size, given = [], 0, True
+        block.append((i, w))
+        size += len(w)
+    if block or not given:
+        yield block
+
+
 def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[str]]], r: Retrieval) -> DataFrame:
     exam = Exam(known, r)
     if not r.in_a_row:  # a document's passage with fewer evaluation words than any common subsequence needs cannot pass
@@ -339,7 +355,7 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
     wanted = vectors(exam.grid, idf, basis) if r.in_a_row else None
     numbers = np.array([i for i, _ in exam.items], np.int64)
     runs = np.unique(_run_hashes(exam.grid, r.known)) if r.in_a_row else None
-    rare = idf > (np.median(idf) if len(idf) else 1.0)
+    rare = np.maximum(idf.astype(float) - 1, 0)  # how rare each word is, from 0 to 1
 
     def judge(ids: np.ndarray, g: np.ndarray, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
         """The passage pairs that pass: each one is judged before the best of a document and item is taken."""
@@ -355,9 +371,9 @@ def _block(docs: DataFrame, doc_id: str, text: str, known: list[tuple[int, list[
             cosine = np.zeros(len(run))
             cosine[keep] = (vectors(g[p[keep]], idf, basis) * wanted[q[keep]]).sum(1)
         else:
-            is_rare = (e >= 0) & rare[np.maximum(e, 0)]
+            rarity = np.where(e >= 0, rare[np.maximum(e, 0)], 0)
             equal = e[:, :, None] == g[p][:, None, :]
-            facts = np.where(is_rare.any(1), (is_rare & equal.any(2)).sum(1) / np.maximum(is_rare.sum(1), 1), 1.0)
+            facts = np.where(rarity.sum(1) > 0, (rarity * equal.any(2)).sum(1) / np.maximum(rarity.sum(1), 1e-9), 1.0)
             keep = facts >= r.facts
             cosine = np.einsum("pij,pi,pj->p", equal, _weights(e, idf), _weights(g[p], idf))  # unknown words weigh nothing
         p, q = p[keep], q[keep]
@@ -396,7 +412,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 def paraphrases(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, overlap: float = 0.7, facts: float = 0.5) -> DataFrame:
     """Documents with a passage that keeps most of an item's passage in order, though not letter for letter.
 
-    `overlap` is the least share of the item's words in the common subsequence, `facts` the least share of its rare words. A document's passages
+    `overlap` is the least share of the item's words in the common subsequence, `facts` the least share of its words by rarity. A document's passages
     are wider than the items', so that it does not matter where a paraphrase begins. A latent cosine would depend on what stands around it in
     such a passage, so the count of common words, which no subsequence can exceed, picks the candidates.
     """

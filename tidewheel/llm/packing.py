@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.tokens import DEFAULT, lengths
+from tidewheel.session import ship
 
 CAPACITY = 2048
 #: Documents that are packed together. Larger groups waste a little less; each is one task's work and stays in its memory.
@@ -73,6 +74,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def document_lengths(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str = DEFAULT) -> DataFrame:
     """(doc_id, n_tokens) of whole texts; NULL and empty texts have 0."""
+    ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +93,7 @@ def pack(lengths_df: DataFrame, capacity: int = CAPACITY, group_docs: int = GROU
     hash, so a hot source or length is spread over all of them; a group's size does not depend on the amount of data. An empty table gives an
     empty result.
     """
+    ship(lengths_df.sparkSession)
     total = n_docs if n_docs is not None else lengths_df.count()
     groups = max(1, -(-total // group_docs))
     salted = lengths_df.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)))
