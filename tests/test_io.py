@@ -39,12 +39,41 @@ def test_sinks(spark, tmp_path):
     assert len([d for d in os.listdir(root) if d.startswith("v")]) == 3
 
 
+def test_paths_with_a_scheme(spark, tmp_path):
+    """A path that names its file system is no other path."""
+    make = lambda data: spark.createDataFrame(data, "k int, v string, s int")
+    path = f"file://{tmp_path}/p"
+    sinks.upsert_table(spark, make([(1, "a", 1), (2, "b", 1)]), path, ["k", "s"], "s")
+    sinks.upsert_table(spark, make([(2, "B", 1)]), path, ["k", "s"], "s")
+    assert rows(spark.read.parquet(path).select("k", "v")) == [(1, "a"), (2, "B")]
+    sinks.publish(make([(1, "x", 0)]), f"file://{tmp_path}/v")
+    sinks.publish(make([(2, "y", 0)]), f"file://{tmp_path}/v")
+    assert rows(sinks.current(spark, f"file://{tmp_path}/v")) == [(2, "y", 0)]
+    assert rows(files.table(spark, f"file://{tmp_path}/none", {"a": "int"})) == []
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.5, None, "x"), (2, None, 2.5, None)], "k int, a double, b double, t string")
+    assert rows(sinks.array_columns(sinks.array_rows(df, ["k"], ["a", "b"]), ["k"], ["a", "b"])) == [(1, 1.5, None), (2, None, 2.5)]
+    assert rows(sinks.documents(df, "k", ["a", "t"])) == [(1, '{"a":1.5,"t":"x"}'), (2, "{}")]
+    assert rows(sinks.create_table(df, "made", str(tmp_path / "db" / "made.parquet"))) == rows(spark.table("made")) == rows(df)
+    assert files.attach(spark, str(tmp_path / "db"), "other") == ["other_made"] and spark.table("other_made").count() == 2
+    sinks.ordered_export(df, str(tmp_path / "o"), ["k"])
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [1, 2]
+
+
 def test_console(spark):
     spark.range(5).createOrReplaceTempView("five")
     a = console.run(spark, "SELECT id FROM five WHERE 'drop' <> ';' ORDER BY id;", ["five"], cap=3)
     assert ([r.id for r in a.rows], a.truncated) == ([0, 1, 2], True)
     assert console.run(spark, "WITH c AS (SELECT * FROM five) SELECT count(*) AS n FROM c", ["five"]).rows[0].n == 5
-    for bad in ("DROP TABLE five", "SELECT 1; SELECT 2", "SELECT * FROM other", "", "SELECT 1 FROM five WHERE (", "INSERT INTO five VALUES (1)", "WITH c AS (SELECT 1) INSERT INTO five SELECT * FROM c", "SELECT java_method('java.lang.System', 'exit', 0)"):
+    spark.range(3).createOrReplaceTempView("secret")
+    with pytest.raises(console.TimedOut):
+        console.run(spark, "SELECT count(*) FROM five a, five b, range(100000000) c, range(1000) d WHERE a.id + c.id % 7 = hash(d.id)", ["five"], seconds=1.5)
+    assert [r.id for r in console.sort_by(spark.table("five"), "id", ["id"], [], limit=2).collect()] == [4, 3]
+    with pytest.raises(console.Refused):
+        console.sort_by(spark.table("five"), "rand()", ["id"], [])
+    for bad in ("WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "SELECT * FROM (WITH secret AS (SELECT 1 AS id) SELECT * FROM secret) a JOIN secret USING (id)", "DROP TABLE five", "SELECT 1; SELECT 2", "SELECT * FROM other", "", "SELECT 1 FROM five WHERE (", "INSERT INTO five VALUES (1)", "WITH c AS (SELECT 1) INSERT INTO five SELECT * FROM c", "SELECT java_method('java.lang.System', 'exit', 0)"):
         with pytest.raises(console.Refused):
             print(bad, console.check(spark, bad, ["five"]))
 
@@ -91,7 +120,7 @@ def test_edges(spark, feed):
 def test_upsert_sink(spark, feed, tmp_path):
     folder, df = feed
     live.upsert_sink(live.parquet_stream(spark, folder, df.schema, "ts"), str(tmp_path / "out"), ["k"], ["ts", "id"], str(tmp_path / "cp")).awaitTermination(120)
-    assert rows(live.latest_batch(spark, str(tmp_path / "out")).select("k", "id")) == [(0, 39), (1, 37), (2, 38)]
+    assert rows(live.latest_batch(spark, str(tmp_path / "out"), "id int, ts timestamp, k int, state string").select("k", "id")) == [(0, 39), (1, 37), (2, 38)]
 
 
 def test_closing(spark):

@@ -18,6 +18,7 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -55,12 +56,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so that later stages survive lost executors and do not run it twice.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is set (tests, local runs) a temporary one is used.
+    The folder is the one the cluster names in spark.checkpoint.dir; only a local session without one (tests) uses a temporary one. With
+    spark.cleaner.referenceTracking.cleanCheckpoints a checkpoint goes when nothing refers to it any more.
     """
     sc = df.sparkSession.sparkContext
     ship(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidewheel-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (sc.master or "").startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "tidewheel-checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 

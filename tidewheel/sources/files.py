@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewheel.sources import storage
+
 
 def typed_empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
@@ -16,7 +17,7 @@ def typed_empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
 
 def table(spark: SparkSession, path: str, columns: Mapping[str, str] | None = None) -> DataFrame:
     """A Parquet table; with `columns` exactly those, in their types, NULL where the file lacks one. A missing path is a typed empty table."""
-    if columns and "://" not in path and not os.path.exists(path):
+    if columns and not storage.exists(spark, path):
         return typed_empty(spark, ", ".join(f"`{c}` {t}" for c, t in columns.items()))
     df = spark.read.parquet(path)
     if not columns:
@@ -53,6 +54,15 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
 
 
+def attach(spark: SparkSession, root: str, alias: str) -> list[str]:
+    """Make the Parquet tables below another root readable as `alias_table` views, for checks against a second store. Returns their names."""
+    names = []
+    for folder in storage.folders(spark, root):
+        names.append(f"{alias}_{folder.removesuffix('.parquet')}")
+        spark.read.parquet(f"{root}/{folder}").createOrReplaceTempView(names[-1])
+    return names
+
+
 def newest(df: DataFrame, partition: str, n: int) -> DataFrame:
     """Rows of the n newest partition values: a literal IN list, so that the scan prunes."""
     values = [r[0] for r in df.select(partition).distinct().orderBy(F.col(partition).desc_nulls_last()).limit(n).collect()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewheel.functions.columns import digest
 from tidewheel.operators.relational import top_per, upsert
-from tidewheel.session import ship
+from tidewheel.session import cut, ship
+from tidewheel.sources import storage
 
 
 def parquet_stream(spark: SparkSession, folder: str, schema, ts: str, files_per_trigger: int = 1) -> DataFrame:
@@ -57,27 +58,54 @@ def edges(stream: DataFrame, key: str, order: str, state: str, begins: str, even
     return stream.groupBy(key).applyInPandasWithState(turn, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], checkpoint: str) -> StreamingQuery:
+def upsert_sink(stream: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], checkpoint: str, buckets: int = 64, expire: Column | None = None) -> StreamingQuery:
     """Run the stream to its end into a table that holds the newest row of every key.
 
-    A batch writes a new version named after its number and drops the one before the last; a repeated batch writes the same version again.
+    Keys are dealt into `buckets` by hash; a batch reads and rewrites only the buckets that it has rows of, as a new version of each, and then
+    names the versions that count in one small file. A repeated batch writes the same versions again. Rows for which `expire` holds leave the
+    table whenever their bucket is written.
     """
     columns = stream.columns
+    rest = [c for c in columns if c not in keys]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        best = top_per(batch, keys, newest, [c for c in columns if c not in keys])
-        before = os.path.join(path, f"batch-{number - 1}")
-        if os.path.exists(before):
-            stored = spark.read.parquet(before)
-            best = top_per(stored.unionByName(best.select(*stored.columns)), keys, newest, [c for c in columns if c not in keys])
-        best.select(*columns).write.mode("overwrite").parquet(os.path.join(path, f"batch-{number}"))
+        best = cut(top_per(batch, keys, newest, rest).select(*columns, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("__bucket")))
+        touched = [r[0] for r in best.select("__bucket").distinct().collect()]  # at most `buckets`
+        state = _versions(spark, path, number)
+        old = [f"{path}/batch-{state[str(b)]}/__bucket={b}" for b in touched if str(b) in state]
+        both = best.select(*columns)
+        if old:
+            both = spark.read.schema(both.schema).parquet(*old).unionByName(both)
+        kept = top_per(both, keys, newest, rest).select(*columns)
+        kept = kept if expire is None else kept.filter(~F.coalesce(expire, F.lit(False)))
+        placed = kept.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).repartition("__bucket")
+        placed.write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/batch-{number}")
+        full = set(storage.folders(spark, f"{path}/batch-{number}"))
+        now = {b: n for b, n in state.items() if int(b) not in touched} | {str(b): number for b in touched if f"__bucket={b}" in full}
+        storage.write_text(spark, f"{path}/state-{number}.json", json.dumps(now))
+        for d in storage.folders(spark, path):  # versions that neither this state nor the one before it names
+            n = int(d.rpartition("-")[2])
+            if n < number and n not in set(now.values()) | set(state.values()):
+                storage.remove(spark, f"{path}/{d}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_batch(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(path, max(os.listdir(path), key=lambda d: int(d.rpartition("-")[2]))))
+def _versions(spark: SparkSession, path: str, number: int) -> dict[str, int]:
+    """Which batch wrote the version of each bucket that counts before batch `number`."""
+    for n in range(number - 1, -1, -1):
+        if storage.exists(spark, f"{path}/state-{n}.json"):
+            return json.loads(storage.read_text(spark, f"{path}/state-{n}.json"))
+    return {}
+
+
+def latest_batch(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that an upsert sink has written so far."""
+    last = max((int(d.rpartition("-")[2]) for d in storage.folders(spark, path)), default=-1)
+    state = _versions(spark, path, last + 1)
+    paths = [f"{path}/batch-{n}/__bucket={b}" for b, n in sorted(state.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def closing(rows: DataFrame, starts: DataFrame, key: str, ts: str, start: str, grace: str, order: Sequence[str]) -> DataFrame:
