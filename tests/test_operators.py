@@ -94,7 +94,7 @@ def test_count_chain():
 
 def test_neutral_and_race(spark):
     df = spark.createDataFrame([(1, 4.0), (2, None), (3, 16.0)], "i int, s double")
-    assert rows(df.select("i", S.neutral_power(F.col("s"), 0.5, []), S.mean_one(F.col("s"), []))) == [(1, 2.0, 0.4), (2, 3.0, 1.0), (3, 4.0, 1.6)]
+    assert rows(S.mean_one(S.neutral_power(df, "s", 0.5, [], "f"), "s", [], "m").select("i", "f", "m")) == [(1, 2.0, 0.4), (2, 3.0, 1.0), (3, 4.0, 1.6)]
     assert df.select(S.race_keys(F.lit(2.0), F.lit(0.5)).alias("k")).first().k == pytest.approx(math.log(2) / 2)
     assert df.select(S.product(F.col("s"), F.lit(2.0)).alias("p")).orderBy("p").first().p == 2.0
 
@@ -177,3 +177,33 @@ def test_columns(spark):
     assert rows(df.select(C.any_of(F.col("b") == 0, F.lit(None)))) == [(False,), (True,)]
     assert rows(df.select(C.mixed_radix((F.col("a"), 5), (F.col("b"), 2)))) == [(8,), (None,)]
     assert df.select(C.hashed_uniform(F.col("a")).alias("u")).filter("u < 0 or u >= 1").count() == 0
+
+
+@pytest.mark.parametrize("steps", [4, 10_000])
+def test_exact_quantiles(spark, monkeypatch, steps):
+    """Interpolated quantiles are numpy's, ranked as a whole or by brackets of a coarse sketch, whatever the ties."""
+    from tidewheel.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "STEPS", steps)
+    rng = np.random.default_rng(0)
+    data = {"a": rng.normal(size=300), "b": np.repeat([1.0, 2.0, 2.0], 40), "c": np.array([7.0]), None: rng.integers(0, 9, 200).astype(float)}
+    df = spark.createDataFrame([(g, float(x), "clash") for g, v in data.items() for x in v] + [("a", None, ""), ("d", None, ""), ("a", float("nan"), "")], "g string, x double, q0 string")
+    qs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(5)] for r in quantiles.exact(df, ["g"], F.col("x"), qs).collect()}
+    assert set(got) == set(data)
+    for g, v in data.items():
+        assert got[g] == pytest.approx(np.quantile(v, qs).tolist())
+    assert [tuple(r) for r in quantiles.exact(df.limit(0), [], F.col("x"), [0.5]).collect()] == [(0, None)]
+
+
+def test_draw_in_many_cells(spark, monkeypatch):
+    """Cut into many pieces, a line gives the rows that numpy finds in it."""
+    monkeypatch.setattr(S, "STEP", 7)
+    rng = np.random.default_rng(1)
+    w = rng.random(90) * rng.integers(0, 2, 90) + np.where(np.arange(90) == 40, 30, 0)
+    u = np.append(rng.random(120), [0.0, 0.999999])
+    pool = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(w)], "g string, i int, w double")
+    asks = spark.createDataFrame([(n, "g", float(x)) for n, x in enumerate(u)] + [(900, None, 0.5), (901, "none", 0.5), (902, "g", None)], "n int, g string, u double")
+    got = {r.n: r.drawn_i for r in S.draw(asks, pool, ["g"], ["i"], "w", "u", ["i"]).collect()}
+    cum = np.cumsum(w)
+    assert got == {**{n: int(np.searchsorted(cum, x * cum[-1], "right")) for n, x in enumerate(u)}, 900: None, 901: None, 902: None}

@@ -16,50 +16,72 @@ def product(*factors: Column) -> Column:
     return reduce(lambda a, b: a * b, [F.coalesce(f.cast("double"), F.lit(1.0)) for f in factors])
 
 
-def neutral_power(score: Column, power: float, over: Sequence[str]) -> Column:
-    """score ** power; rows without a score weigh the mean of the scored rows of their group, 1 where none has one."""
-    raised = F.when(score.isNotNull(), F.pow(score, F.lit(float(power))))
-    return F.coalesce(raised, F.avg(raised).over(Window.partitionBy(*over)), F.lit(1.0))
+#: Rows of one step of a running sum or draw; longer groups are cut into as many steps as they need.
+STEP = 50_000
 
 
-def mean_one(kernel: Column, over: Sequence[str]) -> Column:
-    """A kernel scaled to mean 1 in its group; incomplete rows weigh exactly 1."""
-    mean = F.avg(kernel).over(Window.partitionBy(*over))
-    return F.when(kernel.isNull() | mean.isNull() | (mean <= 0), F.lit(1.0)).otherwise(kernel / mean)
+def with_group(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataFrame:
+    """`df` with aggregates of each row's group, by one partial aggregate that the rows look up; NULL is a group. No group meets in one task."""
+    g = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
+    if not by:
+        return df.join(F.broadcast(g))
+    g = g.select(*[F.col(c).alias(f"__{c}") for c in by], *aggregates)
+    return df.join(g, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])).drop(*[f"__{c}" for c in by])
 
 
-def cumulative(pool: DataFrame, group: Sequence[str], order: Sequence[str], weight: str, slices: int = 16) -> DataFrame:
+def neutral_power(df: DataFrame, score: str, power: float, over: Sequence[str], out: str) -> DataFrame:
+    """`df` with score ** power as `out`; rows without a score weigh the mean of the scored rows of their group, 1 where none has one."""
+    raised = F.when(F.col(score).isNotNull(), F.pow(F.col(score), F.lit(float(power))))
+    return with_group(df, over, __mean=F.avg(raised)).withColumn(out, F.coalesce(raised, "__mean", F.lit(1.0))).drop("__mean")
+
+
+def mean_one(df: DataFrame, kernel: str, over: Sequence[str], out: str) -> DataFrame:
+    """`df` with a kernel scaled to mean 1 in its group as `out`; incomplete rows weigh exactly 1."""
+    k = F.col(kernel)
+    usable = k.isNotNull() & F.col("__mean").isNotNull() & (F.col("__mean") > 0)
+    return with_group(df, over, __mean=F.avg(k)).withColumn(out, F.when(usable, k / F.col("__mean")).otherwise(1.0)).drop("__mean")
+
+
+def cumulative(pool: DataFrame, group: Sequence[str], order: Sequence[str], weight: str) -> DataFrame:
     """Pool rows with cum_before, cum and total of their weights in their group, in the order given (make it total).
 
-    Rows of weight 0, NULL, NaN or below 0 cannot be drawn and are left out. A group may hold any share of all rows: it is cut into slices of
-    equal width of its leading order column (a number), each slice is summed alone, and slices are chained by their totals.
+    Rows of weight 0, NULL, NaN, infinite or below 0 cannot be drawn and are left out. A group may hold any share of all rows: the rows are cut
+    into even ranges of (group, order), each range is summed alone, and ranges are chained by their totals.
     """
     ok = pool.filter((F.col(weight) > 0) & ~F.isnan(F.col(weight)) & (F.col(weight) < F.lit(float("inf"))))
-    low = ok.groupBy(*group).agg(F.min(order[0]).alias("__lo"), F.max(order[0]).alias("__hi"), F.sum(weight).alias("total"))
-    width = F.greatest((F.col("__hi") - F.col("__lo") + 1) / F.lit(float(slices)), F.lit(1e-300))
-    placed = cut(ok.join(low, list(group)).withColumn("__s", F.floor((F.col(order[0]) - F.col("__lo")) / width).cast("int")).drop("__lo", "__hi"))
+    placed = cut(ok.repartitionByRange(*group, *order).withColumn("__s", F.spark_partition_id()))
     sums = placed.groupBy(*group, "__s").agg(F.sum(weight).alias("__w"))
-    before = Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, "__s", F.coalesce(F.sum("__w").over(before), F.lit(0.0)).alias("__base"))
+    w = Window.partitionBy(*group)
+    before = w.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__s").alias("__part"), F.coalesce(F.sum("__w").over(before), F.lit(0.0)).alias("__base"), F.sum("__w").over(w).alias("total"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], F.col("__s") == F.col("__part"))
     inner = Window.partitionBy(*group, "__s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(sums, [*group, "__s"]).withColumn("cum", F.col("__base") + F.sum(weight).over(inner))
-    return out.withColumn("cum_before", F.col("cum") - F.col(weight)).drop("__s", "__base")
+    out = placed.join(sums, same).withColumn("cum", F.col("__base") + F.sum(weight).over(inner))
+    return out.withColumn("cum_before", F.col("cum") - F.col(weight)).drop("__s", "__part", "__base", *[f"__{g}" for g in group])
 
 
-def draw(requests: DataFrame, pool: DataFrame, group: Sequence[str], order: Sequence[str], weight: str, u: str, carry: Sequence[str], buckets: int = 64) -> DataFrame:
+def draw(requests: DataFrame, pool: DataFrame, group: Sequence[str], order: Sequence[str], weight: str, u: str, carry: Sequence[str]) -> DataFrame:
     """Every request (group, u in [0, 1)) with the columns `carry` of the pool row drawn: the first whose cumulative weight exceeds u x total.
 
-    A request whose group has no drawable row gets NULLs: the caller's default applies. Pool rows and requests meet in buckets of the
-    cumulative share, so that a hot group's draws spread out and no request is compared with a whole pool.
+    A request whose group has no drawable row gets NULLs: the caller's default applies; so does one with a NULL group or u. Pool rows and
+    requests are laid out together on the line of cumulative shares, and a running step hands each request the row that ends next: linear in
+    both, with a group's line cut into pieces of about STEP rows and requests.
     """
     c = cumulative(pool, group, order, weight)
-    lo, hi = F.floor(F.col("cum_before") / F.col("total") * buckets), F.floor(F.col("cum") / F.col("total") * buckets)
-    ranges = c.select(*[F.col(g).alias(f"__{g}") for g in group], *[F.col(x).alias(f"__{x}") for x in carry], "cum_before", "cum", "total", F.explode(F.sequence(F.greatest(lo.cast("int") - 1, F.lit(0)), F.least(hi.cast("int") + 1, F.lit(buckets)))).alias("__b"))
-    asked = requests.withColumn("__b", F.floor(F.col(u) * buckets).cast("int"))
-    at = F.col(u) * F.col("total")
-    on = reduce(lambda a, b: a & b, [F.col(g) == F.col(f"__{g}") for g in group]) & (asked["__b"] == ranges["__b"]) & (F.col("cum_before") <= at) & (at < F.col("cum"))
-    hit = asked.join(ranges, on, "left")
-    return hit.select(*requests.columns, *[F.col(f"__{x}").alias(f"drawn_{x}") for x in carry])
+    asked = requests.withColumn("__u", F.when(F.col(u).isNotNull(), F.greatest(F.lit(0.0), F.col(u))))
+    sizes = c.groupBy(*group).agg(F.count(F.lit(1)).alias("__np"), F.max("total").alias("__total"))
+    n_asked = asked.groupBy(*group).agg(F.count(F.lit(1)).alias("__nq"))
+    cells = sizes.join(n_asked, list(group)).select(*group, "__total", F.ceil((F.col("__np") + F.col("__nq")) / STEP).cast("int").alias("__cells"))
+    cell = lambda share: F.greatest(F.lit(0), F.least(F.floor(share * F.col("__cells")).cast("int"), F.col("__cells") - 1))
+    row = F.struct(*[F.col(x).alias(f"c{i}") for i, x in enumerate(carry)])
+    # A pool row stands in every cell that its stretch of the line touches, with some room for rounding.
+    ends = c.join(cells, list(group)).select(*group, F.explode(F.sequence(cell(F.col("cum_before") / F.col("__total") - 1e-9), cell(F.col("cum") / F.col("__total") + 1e-9))).alias("__cell"), F.col("cum").alias("__at"), F.lit(1).alias("__kind"), row.alias("__row"))
+    points = asked.join(cells, list(group), "left").select(*group, F.coalesce(cell(F.col("__u")), F.lit(0)).alias("__cell"), (F.col("__u") * F.col("__total")).alias("__at"), F.lit(0).alias("__kind"), F.struct(*requests.columns).alias("__request"))
+    # Backwards: behind a request comes the pool row with the least cum above it; a row that ends at the very place does not count.
+    line = Window.partitionBy(*group, "__cell").orderBy(F.col("__at").desc_nulls_last(), F.col("__kind").asc(), *([F.col("__row").desc()] if carry else [])).rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(points, allowMissingColumns=True).withColumn("__hit", F.last("__row", ignorenulls=True).over(line)).filter("__kind = 0")
+    hit = F.when(F.col("__at").isNotNull(), F.col("__hit"))
+    return both.select("__request.*", *[hit[f"c{i}"].alias(f"drawn_{x}") for i, x in enumerate(carry)])
 
 
 def widen(requests: DataFrame, pool: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], least: int) -> DataFrame:

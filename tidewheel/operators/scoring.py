@@ -6,13 +6,15 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.session import cut, ship
+from tidewheel.operators import quantiles
+from tidewheel.session import cut, parallelism, ship
 
-#: Query rows that are compared with the whole table at once: the bound of what is broadcast.
-QUERY_BLOCK = 4096
+#: Query rows, and rows of the table, that are compared at once.
+QUERY_BLOCK, TABLE_BLOCK = 1024, 16_384
 
 
 def zscores(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), weights: Mapping[str, float] | None = None) -> DataFrame:
@@ -34,45 +36,72 @@ def pairs_within(df: DataFrame, block: Sequence[str], key: str) -> DataFrame:
     return a.join(b, list(block)).filter(F.col(f"a_{key}") < F.col(f"b_{key}"))
 
 
+def _packed(most: int):
+    """Rows (id, v) to blocks of up to `most` vectors of one width, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(width: int) -> pa.RecordBatch:
+            ids, v = zip(*held.pop(width))
+            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.stack(v).tobytes()], pa.binary())], names=["width", "ids", "v"])
+
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy()
+            flat, start = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+            for i, x in enumerate(batch.column(0).to_pylist()):
+                rows = held.setdefault(int(size[i]), [])
+                rows.append((x, flat[start[i] : start[i + 1]]))
+                if len(rows) == most:
+                    yield block(int(size[i]))
+        for width in list(held):
+            yield block(width)
+
+    return run
+
+
+def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, distance) of the k nearest rows of one block of the table for each query of one block."""
+    near_id, near_d = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+    for lo in range(0, len(x), 2048):
+        part, part_ids = x[lo : lo + 2048], ids[lo : lo + 2048]
+        d = np.maximum((q * q).sum(1)[:, None] + (part * part).sum(1)[None] - 2 * q @ part.T, 0)
+        d[q_ids[:, None] == part_ids[None]] = np.inf
+        pre = min(4 * k + 16, len(part_ids))  # the fast form only preselects; distances are then computed directly
+        top = np.argpartition(d, pre - 1, axis=1)[:, :pre]
+        exact = np.sqrt(((q[:, None, :] - part[top]) ** 2).sum(2))
+        exact[~np.isfinite(np.take_along_axis(d, top, 1))] = np.inf
+        near_id, near_d = np.concatenate([near_id, part_ids[top]], 1), np.concatenate([near_d, exact], 1)
+        order = np.lexsort((near_id, near_d), axis=1)[:, :k]
+        near_id, near_d = np.take_along_axis(near_id, order, 1), np.take_along_axis(near_d, order, 1)
+    r, c = np.nonzero(np.isfinite(near_d))
+    return q_ids[r], near_id[r, c], near_d[r, c]
+
+
 def knn(table: DataFrame, queries: DataFrame, key: str, vector: str, k: int, carry: Sequence[str] = ()) -> DataFrame:
     """(query, neighbour, distance, rank, carry of the neighbour): the exact k nearest rows of `table` for every row of `queries`, itself excluded.
 
-    The query set is stated and meets the whole table in blocks of QUERY_BLOCK rows: each task keeps the k best of its rows for each query, and
-    only those few are shuffled. Equal distances go to the smaller key. Rows with a NULL key, or vectors that are NULL, empty, of another
+    The query set is stated and meets the whole table block by block: for each pair of blocks the k best rows of each query are kept, and only
+    those few are shuffled. Neither side passes through the driver. Equal distances go to the smaller key. Rows with a NULL key, or vectors that are NULL, empty, of another
     width or not finite, take no part; repeated keys count once.
     """
     spark = table.sparkSession
     ship(spark)
     clean = lambda d: d.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))).dropDuplicates([key])
-    out = None
-    rows = [(int(r[0]), r[1]) for r in clean(queries).select(key, vector).orderBy(key).toLocalIterator()]
-    data = clean(table).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    for lo in range(0, len(rows), QUERY_BLOCK):
-        ids, q = np.array([r[0] for r in rows[lo : lo + QUERY_BLOCK]]), np.array([r[1] for r in rows[lo : lo + QUERY_BLOCK]], float)
-
-        def best(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            near_id, near_d = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for pdf in batches:
-                pdf = pdf[pdf["v"].map(len) == q.shape[1]]
-                for a in range(0, len(pdf), 2048):
-                    x, xi = np.stack(pdf["v"].to_numpy()[a : a + 2048]), pdf["id"].to_numpy()[a : a + 2048]
-                    d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0)
-                    d[ids[:, None] == xi[None]] = np.inf
-                    pre = min(4 * k + 16, len(xi))  # the fast form only preselects; distances are then computed directly
-                    top = np.argpartition(d, pre - 1, axis=1)[:, :pre]
-                    exact = np.sqrt(((q[:, None, :] - x[top]) ** 2).sum(2))
-                    exact[~np.isfinite(np.take_along_axis(d, top, 1))] = np.inf
-                    near_id, near_d = np.concatenate([near_id, xi[top]], 1), np.concatenate([near_d, exact], 1)
-                    order = np.lexsort((near_id, near_d), axis=1)[:, :k]
-                    near_id, near_d = np.take_along_axis(near_id, order, 1), np.take_along_axis(near_d, order, 1)
-            r, c = np.nonzero(np.isfinite(near_d))
-            if len(r):
-                yield pd.DataFrame({"query": ids[r], "neighbour": near_id[r, c], "distance": near_d[r, c]})
-
-        part = data.mapInPandas(best, "query long, neighbour long, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = data.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
+    packed = lambda d, most: clean(d).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_packed(most), "width int, ids binary, v binary")
+    spread = parallelism(spark)
+    # Every block of queries meets every block of the table once; the table's blocks stay where they are dealt, the few queries go to all.
+    blocks = packed(queries, QUERY_BLOCK).select(F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("at"), "width", F.col("ids").alias("q_ids"), F.col("v").alias("q"))
+    data = packed(table, TABLE_BLOCK).withColumn("at", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, q_ids, q, ids, v in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                a, b, d = _nearest(np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, width), np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(-1, width), k)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["query", "neighbour", "distance"])
+
+    met = blocks.join(data, ["at", "width"]).select("width", "q_ids", "q", "ids", "v")
+    out = met.mapInArrow(best, "query long, neighbour long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
     ranked = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     if carry:
@@ -102,8 +131,7 @@ def concentration(scores: DataFrame, owner: str, own: str, weight: str) -> DataF
 
 def sigma_for(distances: DataFrame, d2: str, target: float) -> DataFrame:
     """(median_d2, gamma, sigma) that give the median pair the score `target`; NULL where there is no spread."""
-    m = F.percentile(d2, F.lit(0.5))
-    fit = distances.filter(F.col(d2).isNotNull()).agg(m.alias("median_d2"))
+    fit = quantiles.exact(distances, [], F.col(d2), [0.5]).select(F.col("q0").alias("median_d2"))
     gamma = F.when(F.col("median_d2") > 0, -F.log(F.lit(target)) / F.col("median_d2"))
     return fit.withColumn("gamma", gamma).withColumn("sigma", F.sqrt(F.lit(0.5) / F.col("gamma")))
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import columns as C
 from tidewheel.operators import evaluate as E
+from tidewheel.operators import quantiles, simulate
 from tidewheel.operators import relational as R
 from tidewheel.operators import sampling as S
 from tidewheel.operators import scoring as K
-from tidewheel.operators import simulate
 from tidewheel.plans.catalogue import Catalogue
 
 CATALOGUE = Catalogue()
@@ -256,7 +256,9 @@ def draw_neutral_power(t):
     """Unscored rows are neutral: the mean of the scored in a power, 1 in a mean-one kernel."""
     score = F.when(F.col("velo").isNotNull(), F.exp(-F.pow(F.col("velo") - 90, F.lit(2)) / 50))
     kernel = F.when(F.col("spin_rate").isNotNull(), F.exp(-F.pow((F.col("spin_rate") - 2300) / 300, F.lit(2)) / 2))
-    return t("pitches").select("pitch_id", F.round(S.neutral_power(score, 0.5, ["p_throws"]), 6).alias("factor"), F.round(S.mean_one(kernel, ["p_throws"]), 6).alias("kernel"))
+    p = t("pitches").select("pitch_id", "p_throws", score.alias("s"), kernel.alias("k"))
+    both = S.mean_one(S.neutral_power(p, "s", 0.5, ["p_throws"], "factor"), "k", ["p_throws"], "kernel")
+    return both.select("pitch_id", F.round("factor", 6).alias("factor"), F.round("kernel", 6).alias("kernel"))
 
 
 @query()
@@ -315,7 +317,8 @@ def over_under_push(t):
 FROM (SELECT season, count(*) AS n, avg(k) AS mean, stddev_samp(k) AS sd, avg((k >= 4)::INT) AS p, quantile_cont(k, 0.5) AS median FROM (SELECT season, game_pk, at_bat_number, count(*) AS k FROM pitches GROUP BY 1, 2, 3) GROUP BY 1)""")
 def summary_ci(t):
     a = t("pitches").groupBy("season", *AT_BAT).agg(F.count(F.lit(1)).alias("k"))
-    g = a.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("mean"), F.stddev_samp("k").alias("sd"), F.avg((F.col("k") >= 4).cast("int")).alias("p"), F.percentile("k", F.lit(0.5)).alias("median"))
+    g = a.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.avg("k").alias("mean"), F.stddev_samp("k").alias("sd"), F.avg((F.col("k") >= 4).cast("int")).alias("p"))
+    g = g.join(quantiles.exact(a, ["season"], F.col("k"), [0.5]).select("season", F.col("q0").alias("median")), "season")
     low, high = E.mean_interval(F.col("mean"), F.col("sd"), F.col("n"))
     return g.select("season", "n", F.round("mean", 6).alias("mean"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(E.proportion_interval(F.col("p"), F.col("n"))[0], 6).alias("p_low"), "median")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import columns as C
 from tidewheel.operators import evaluate as E
-from tidewheel.operators import models
+from tidewheel.operators import models, quantiles
 from tidewheel.operators import relational as R
 from tidewheel.plans.catalogue import Catalogue
 from tidewheel.plans.modelling import BATTERS_SQL, batters
@@ -117,8 +117,8 @@ def composite_scores(t):
 
 @query(COMPOSITE_SQL.format(base=BATTERS_SQL) + " SELECT season, round(quantile_cont(score, 0.1), 6) AS q10, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.9), 6) AS q90 FROM s WHERE score IS NOT NULL GROUP BY 1")
 def score_distribution(t):
-    q = F.percentile("score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return _composite(t).filter("score is not null").groupBy("season").agg(q.alias("q")).select("season", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    q = quantiles.exact(_composite(t), ["season"], F.col("score"), [0.1, 0.5, 0.9])
+    return q.select("season", *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
 @query(f"""WITH b AS ({BATTERS_SQL}) SELECT a.season, count(*) AS n, round(avg(exp(-power(a.k_rate - n.k_rate, 2) / 0.005)), 6) AS self_score FROM b a JOIN b n ON a.batter_id = n.batter_id AND n.season = a.season + 1 WHERE a.k_rate IS NOT NULL AND n.k_rate IS NOT NULL GROUP BY 1""")
@@ -134,8 +134,9 @@ def cross_season_similarity(t):
 SELECT CAST(inning AS INTEGER) AS sector, round(CASE WHEN n_hr >= 5 AND n_kept >= 20 THEN (hr + kept) / 2 WHEN n_hr >= 5 THEN hr WHEN n_kept >= 20 THEN kept END, 4) AS line FROM s""")
 def sector_line(t):
     """A boundary between two kinds of outcomes: the midpoint of two quantiles where both are supported, one alone where the other is thin."""
-    of = lambda e: F.when(F.col("events") == e, F.col("velo"))
-    s = t("pitches").groupBy(F.col("inning").cast("int").alias("sector")).agg(F.percentile(of("home_run"), F.lit(0.1)).alias("hr"), F.count(of("home_run")).alias("n_hr"), F.percentile(of("field_out"), F.lit(0.99)).alias("kept"), F.count(of("field_out")).alias("n_kept"))
+    p = t("pitches").select(F.col("inning").cast("int").alias("sector"), "events", "velo")
+    of = lambda e, q, n: quantiles.exact(p.filter(F.col("events") == e), ["sector"], F.col("velo"), [q]).select("sector", F.col("q0").alias(n), F.col("n").alias(f"n_{n}"))
+    s = p.select("sector").distinct().join(of("home_run", 0.1, "hr"), "sector", "left").join(of("field_out", 0.99, "kept"), "sector", "left")
     line = F.when((F.col("n_hr") >= 5) & (F.col("n_kept") >= 20), (F.col("hr") + F.col("kept")) / 2).when(F.col("n_hr") >= 5, F.col("hr")).when(F.col("n_kept") >= 20, F.col("kept"))
     return s.select("sector", F.round(line, 4).alias("line"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import columns as C
+from tidewheel.operators import quantiles
 from tidewheel.operators import relational as R
 from tidewheel.plans.catalogue import Catalogue
 
@@ -237,8 +238,8 @@ def agg_json_object(t):
 
 @query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 4) AS q10, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.99), 4) AS q99 FROM lineitem GROUP BY 1, 2")
 def agg_quantiles(t):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.99)))
-    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(q.alias("q")).select("l_returnflag", "l_linestatus", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q10", "q50", "q99"))])
+    q = quantiles.exact(t("lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), [0.1, 0.5, 0.99])
+    return q.select("l_returnflag", "l_linestatus", *[F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("q10", "q50", "q99"))])
 
 
 @query("SELECT CAST(floor(velo) AS INTEGER) AS velo, count(*) AS n FROM pitches WHERE velo IS NOT NULL GROUP BY 1")
