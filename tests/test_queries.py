@@ -4,10 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import oracle
-from tidewheel.plans import modelling, preparation, profiles, relational
+from tidewheel.plans import builders, draws, modelling, preparation, profiles, relational
 
-CORE = {**preparation.QUERIES, **relational.QUERIES, **modelling.QUERIES, **profiles.QUERIES}
-CORE_SQL = {**preparation.SQL, **relational.SQL, **modelling.SQL, **profiles.SQL}
+CORE = {**preparation.QUERIES, **relational.QUERIES, **modelling.QUERIES, **profiles.QUERIES, **draws.QUERIES, **builders.QUERIES}
+CORE_SQL = {**preparation.SQL, **relational.SQL, **modelling.SQL, **profiles.SQL, **draws.SQL, **builders.SQL}
 
 
 @pytest.fixture(scope="module")

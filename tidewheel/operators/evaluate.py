@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,49 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, replicates: int =
     return total.join(q).select("n_clusters", "mean", F.when(two, F.col("q")[0]).otherwise(F.col("mean")).alias("low"), F.when(two, F.col("q")[1]).otherwise(F.col("mean")).alias("high"))
 
 
+def slope_with_dummies(df: DataFrame, y: str, x: str, dummy: str) -> DataFrame:
+    """(n, slope): least squares of y on x beside one dummy for each value of `dummy`, from the sums of each group; NULL without spread.
+
+    Within-group deviations have the same slope, so no matrix of dummies is built. Rows with a NULL in any of the three do not count.
+    """
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    g = df.filter(a.isNotNull() & b.isNotNull() & F.col(dummy).isNotNull()).groupBy(dummy).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(a, b).alias("c"), F.var_pop(a).alias("v"))
+    s = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("n") * F.col("c")).alias("c"), F.sum(F.col("n") * F.col("v")).alias("v"))
+    return s.select("n", (F.col("c") / F.nullif("v", F.lit(0.0))).alias("slope"))
+
+
+def market(home: Column, away: Column, total: float, spread: float) -> dict[str, Column]:
+    """Aggregates over games: total over and under a line, either side, either side against a margin, and level games."""
+    share = lambda c: F.avg(c.cast("int"))
+    return {
+        "p_total_over": share(home + away > total), "p_total_under": share(home + away < total), "p_home": share(home > away), "p_away": share(away > home),
+        "p_home_cover": share(home - spread > away), "p_away_cover": share(away + spread > home), "p_level": share(home == away),
+    }
+
+
+def ablation(df: DataFrame, season: str, key: str, outcome: str, n0: float) -> DataFrame:
+    """(season, n, brier_base, brier_model): error of predicting each season by the mean of all earlier ones, and by each key's own earlier
+    record shrunk to it. Rows fold to sums by season and key first; seasons without a past are left out."""
+    y = F.col(outcome).cast("double")
+    s = df.filter(y.isNotNull()).groupBy(season, key).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k"))
+    past = lambda *by: Window.partitionBy(*by).orderBy(season).rangeBetween(Window.unboundedPreceding, -1)
+    league = s.groupBy(season).agg(F.sum("n").alias("ln"), F.sum("k").alias("lk"))
+    league = league.select(season, (F.sum("lk").over(past()) / F.sum("ln").over(past())).alias("base"))
+    own = s.select(season, "n", "k", F.coalesce(F.sum("n").over(past(key)), F.lit(0)).alias("pn"), F.coalesce(F.sum("k").over(past(key)), F.lit(0.0)).alias("pk"))
+    j = own.join(league.filter("base is not null"), season).withColumn("model", (F.col("pk") + n0 * F.col("base")) / (F.col("pn") + n0))
+    error = lambda p: F.sum(F.col("k") * F.pow(1 - F.col(p), F.lit(2)) + (F.col("n") - F.col("k")) * F.pow(F.col(p), F.lit(2))) / F.sum("n")
+    return j.groupBy(season).agg(F.sum("n").alias("n"), error("base").alias("brier_base"), error("model").alias("brier_model"))
+
+
+def bonferroni(df: DataFrame, by: str, outcome: str, tests: int, alpha: float = 0.05, least: int = 30) -> DataFrame:
+    """(by, n, z, differs): groups whose rate differs from that of all rows, at a level shared by `tests` tests and for `least` rows or more."""
+    limit = NormalDist().inv_cdf(1 - alpha / tests / 2)
+    g = df.filter(F.col(outcome).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(outcome).cast("double")).alias("k"))
+    whole = g.agg((F.sum("k") / F.sum("n")).alias("q"))
+    z = (F.col("k") / F.col("n") - F.col("q")) / F.sqrt(F.nullif(F.col("q") * (1 - F.col("q")), F.lit(0.0)) / F.col("n"))
+    return g.join(F.broadcast(whole)).select(by, "n", z.alias("z")).withColumn("differs", (F.col("n") >= least) & F.coalesce(F.abs("z") > limit, F.lit(False)))
+
+
 def pooled_chi2(observed: Sequence[float], expected: Sequence[float], labels: Sequence[str], least: float = 5.0) -> tuple[float, int, list[str]]:
     """(statistic, degrees of freedom, labels) after merging the high tail inward, then the low end, until each bin expects `least`."""
     o, e, names = list(map(float, observed)), list(map(float, expected)), list(labels)

@@ -36,6 +36,18 @@ def insert_if_absent(stored: DataFrame, arriving: DataFrame, keys: Sequence[str]
     return stored.unionByName(arriving.join(stored.select(*keys), list(keys), "left_anti"))
 
 
+def upsert_where(stored: DataFrame, arriving: DataFrame, keys: Sequence[str], condition: str) -> DataFrame:
+    """An upsert whose keys are unique only among rows for which `condition` holds: such rows replace such rows, all others are added."""
+    marked = stored.withColumn("__in", F.coalesce(F.expr(condition), F.lit(False)))
+    target = arriving.filter(condition).select(*keys).distinct().withColumn("__in", F.lit(True))
+    return marked.join(target, [*keys, "__in"], "left_anti").select(*stored.columns).unionByName(arriving)
+
+
+def broken_rules(rules: Mapping[str, Column]) -> Column:
+    """The names of all rules that hold for a row, as an array; a rule that is NULL does not hold."""
+    return F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in rules.items()]))
+
+
 def update_from(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """UPDATE ... FROM: `columns` of matched rows are taken from `source` (unique by key), NULLs included; others stay."""
     marked = source.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.columns import rbf
 from tidewheel.operators import quantiles
 from tidewheel.session import cut, parallelism, ship
 
@@ -109,6 +111,29 @@ def knn(table: DataFrame, queries: DataFrame, key: str, vector: str, k: int, car
     return ranked.select("query", "neighbour", "distance", "rank", *carry)
 
 
+def score_matrix(pairs: DataFrame, a: str, b: str, by: Sequence[str], weights: Mapping[str, float], sigma: float) -> DataFrame:
+    """(a, b, by, score): a score matrix as a pair table, for pairs with the features of b and of a (as q_...). To keep it, write it."""
+    return pairs.select(a, b, *by, rbf({c: F.col(f"q_{c}") for c in weights}, {c: F.col(c) for c in weights}, weights, sigma).alias("score"))
+
+
+def symmetry(scores: DataFrame, a: str, b: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, lo, hi, first, gap): for pairs that are scored both ways, the score of the smaller id's row and how far the other one is from it."""
+    lo, hi = F.least(a, b), F.greatest(a, b)
+    forward = F.col(a) < F.col(b)
+    g = scores.groupBy(*by, lo.alias("lo"), hi.alias("hi")).agg(F.max(F.when(forward, F.col(score))).alias("first"), F.max(F.when(~forward, F.col(score))).alias("second"))
+    return g.filter("first is not null and second is not null").select(*by, "lo", "hi", "first", F.abs(F.col("first") - F.col("second")).alias("gap"))
+
+
+def merge_small(components: DataFrame, key: str, group: Sequence[str], features: Sequence[str], size: str, least: int) -> DataFrame:
+    """Components with `into_id`: those of fewer than `least` rows name the nearest large component of their group, the smaller id on equal
+    distance; large ones, and small ones of groups without any, name themselves. Groups hold a few components each."""
+    small, large = components.filter(F.col(size) < least), components.filter(F.col(size) >= least)
+    other = large.select(*group, F.col(key).alias("__into"), *[F.col(f).alias(f"__{f}") for f in features])
+    d = reduce(lambda x, y: x + y, [F.pow(F.col(f) - F.col(f"__{f}"), F.lit(2)) for f in features])
+    near = small.join(other, list(group)).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("__into").alias("i")))["i"].alias("into_id"))
+    return components.join(near, key, "left").withColumn("into_id", F.coalesce("into_id", key))
+
+
 def outcome_shares(neighbours: DataFrame, label: str) -> DataFrame:
     """(query, label, share): classes among the neighbours of each query."""
     g = neighbours.groupBy("query", label).agg(F.count(F.lit(1)).alias("n"))
@@ -178,16 +203,74 @@ def greedy_transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     return total
 
 
-def mixture_distances(pairs: DataFrame) -> DataFrame:
-    """(a, b, w2) for rows with a, b and the mixtures wa, ma, wb, mb (weights; means as arrays of arrays) with unit covariances."""
+def exact_transport(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    """Least cost of moving mass a to mass b (scaled to 1 each), by shortest augmenting paths: exact, for the few components of mixtures."""
+    n, m = cost.shape
+    a, b, flow = a / a.sum(), b / b.sum(), np.zeros((n, m))
+    for i in range(n):
+        while a[i] > 1e-12:
+            # Bellman-Ford over sources and sinks: a lane forward costs cost, back along a used lane gives it back.
+            dist, via = np.full(n + m, np.inf), np.full(n + m, -1)
+            dist[i] = 0.0
+            for _ in range(n + m):
+                ahead = dist[:n, None] + cost
+                best = ahead.argmin(0)
+                better = ahead[best, np.arange(m)] < dist[n:] - 1e-15
+                dist[n:][better], via[n:][better] = ahead[best, np.arange(m)][better], best[better]
+                back = np.where(flow > 1e-15, dist[None, n:] - cost, np.inf)
+                best_back = back.argmin(1)
+                better_back = back[np.arange(n), best_back] < dist[:n] - 1e-15
+                dist[:n][better_back], via[:n][better_back] = back[np.arange(n), best_back][better_back], n + best_back[better_back]
+                if not better.any() and not better_back.any():
+                    break
+            open_sinks = np.flatnonzero(b > 1e-15)
+            if not len(open_sinks):
+                break
+            sink = n + open_sinks[dist[n:][open_sinks].argmin()]
+            path, at = [sink], sink
+            while at != i:
+                at = int(via[at])
+                path.append(at)
+            path.reverse()
+            move = min([a[i], b[sink - n], *[flow[v, u - n] for u, v in zip(path, path[1:]) if u >= n]])
+            for u, v in zip(path, path[1:]):
+                if u < n:
+                    flow[u, v - n] += move
+                else:
+                    flow[v, u - n] -= move
+            a[i] -= move
+            b[sink - n] -= move
+    return float((flow * cost).sum())
+
+
+def mixture_distances(pairs: DataFrame, exact: bool = False) -> DataFrame:
+    """(a, b, w2) for rows with a, b and the mixtures wa, ma, wb, mb: weights, and means as arrays of arrays.
+
+    With the columns ca and cb (covariances as arrays of flat matrices) the cost between components is the Bures-Wasserstein one, without them
+    that of unit covariances. Mass is moved cheapest lane first, or with `exact` at the least cost there is.
+    """
     ship(pairs.sparkSession)
+    move = exact_transport if exact else greedy_transport
+    with_covariances = {"ca", "cb"} <= set(pairs.columns)
+    if with_covariances:
+
+        def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                w2 = []
+                for wa, ma, ca, wb, mb, cb in zip(*(pdf[c] for c in ("wa", "ma", "ca", "wb", "mb", "cb"))):
+                    d = len(ma[0])
+                    cost = np.array([[bures2(np.asarray(x), np.asarray(cx).reshape(d, d), np.asarray(y), np.asarray(cy).reshape(d, d)) for y, cy in zip(mb, cb)] for x, cx in zip(ma, ca)])
+                    w2.append(float(np.sqrt(move(cost, np.array(wa, float), np.array(wb, float)))))
+                yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "w2": w2})
+
+        return pairs.select("a", "b", "wa", "ma", "ca", "wb", "mb", "cb").mapInPandas(full, "a long, b long, w2 double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             w2 = []
             for wa, ma, wb, mb in zip(pdf["wa"], pdf["ma"], pdf["wb"], pdf["mb"]):
                 x, y = np.stack(ma), np.stack(mb)
-                w2.append(float(np.sqrt(greedy_transport(((x[:, None] - y[None]) ** 2).sum(2), np.array(wa, float), np.array(wb, float)))))
+                w2.append(float(np.sqrt(move(((x[:, None] - y[None]) ** 2).sum(2), np.array(wa, float), np.array(wb, float)))))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "w2": w2})
 
     return pairs.select("a", "b", "wa", "ma", "wb", "mb").mapInPandas(run, "a long, b long, w2 double")

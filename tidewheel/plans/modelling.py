@@ -261,13 +261,6 @@ def draw_neutral_power(t):
     return both.select("pitch_id", F.round("factor", 6).alias("factor"), F.round("kernel", 6).alias("kernel"))
 
 
-@query()
-def count_machine_fold(t):
-    """Count after every at-bat's pitches, folded over their ordered outcomes (tested against brute force)."""
-    a = t("pitches").groupBy(*AT_BAT).agg(F.transform(F.sort_array(F.collect_list(F.struct("pitch_number", "pitch_id", "outcome_type"))), lambda x: x["outcome_type"]).alias("o"))
-    return a.select(*AT_BAT, S.fold_counts(F.col("o")).alias("c")).select(*AT_BAT, "c.balls", "c.strikes", "c.over")
-
-
 def _count_rates(t):
     g = t("pitches").filter("outcome_type is not null").groupBy("count_balls", "count_strikes", "outcome_type").agg(F.count(F.lit(1)).alias("n")).collect()
     rates: dict = {}

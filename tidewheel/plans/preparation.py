@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.operators import asknown, history, nested, stamps
+from tidewheel.operators import asknown, history, matching, nested, stamps
 from tidewheel.session import cut, read
 
 OFFERS = nested.Shape(
@@ -156,6 +156,25 @@ def p3_as_known_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(rates, ["side", "metric_id"], "left").groupBy("side").agg(F.count(F.lit(1)).alias("n_known"), F.round(F.avg("k_rate"), 6).alias("mean_k_rate"))
 
 
+def matched_events(t) -> DataFrame:
+    """Vendor events with the scheduled game of the same two teams that starts nearest: both sides' stamps as the stamp operator reads them."""
+    from tidewheel.plans.profiles import entity_match
+
+    games, events = t("schedule_games"), t("vendor_events")
+    days = games.select("schedule_id", "gamedate", "officialdate", "feed", "venue_id", "updated_at").withColumn("day", F.lit(None).cast("date"))
+    zones = t("venues").groupBy("venue_id").agg(F.max("tz_name").alias("tz_name"))
+    own = lambda df, i, text, seen: df.select(F.lit(text).alias("field"), F.col(i).alias("row_id"), "feed", F.col(seen).alias("seen"), F.col(text).alias("text"), "tz_name", "day")
+    texts = own(days.join(zones, "venue_id", "left"), "schedule_id", "gamedate", "updated_at").unionByName(own(events.withColumns({"tz_name": F.lit(None).cast("string"), "day": F.lit(None).cast("date")}), "event_row_id", "scheduled", "received_at"))
+    values = stamps.with_instant_readings(texts.distinct().repartition("row_id"), "text", "readings", "tz_name", "day").withColumn("source", F.concat_ws("/", "field", "feed"))
+    rules = _by_source(INSTANTS, FEEDS)
+    read_ = stamps.choose_readings(values.select("field", "row_id", "source", "seen", "readings"), "source", ["seen", "row_id"], "readings", rules).filter(stamps.as_declared(F.col("source"), rules))
+    at = read_.groupBy("field", "row_id").agg(F.timestamp_micros(F.max_by("read_at", "seen")).alias("at"))
+    when = lambda field, i: at.filter(F.col("field") == field).select(F.col("row_id").alias(i), "at")
+    e = entity_match(t).join(when("scheduled", "event_row_id"), "event_row_id")
+    g = games.select("schedule_id", "home_team_id", "away_team_id").distinct().join(when("gamedate", "schedule_id"), "schedule_id")
+    return matching.nearest_in_time(e, g, ["home_team_id", "away_team_id"], "event_row_id", "schedule_id", "at", "at")
+
+
 ENTITIES = {
     "manager": ("managers", "manager_id", {"assignment": ("team_id", "season_start", "season_end"), "identity": ("full_name",)}, {"assignment": ("team_id",), "identity": ("full_name",)}),
     "team": ("teams", "team_id", {"venue": ("venue_id",), "identity": ("team_name", "team_abbrev", "league", "division")}, {"venue": ("venue_id",), "identity": ("team_name",)}),
