@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import pytest
@@ -131,3 +132,23 @@ def test_closing(spark):
     stored = spark.createDataFrame([("a", 1, "current"), ("b", 4, "closing")], "k string, id int, line_type string")
     fresh = spark.createDataFrame([("a", 2), ("b", 9)], "k string, id int")
     assert rows(live.promote(stored, fresh, "k")) == [("a", 2, "closing"), ("b", 4, "closing")]
+
+
+def test_gates_histories_and_channels(spark, feed, tmp_path):
+    folder, df = feed
+    stream = lambda: live.parquet_stream(spark, folder, df.schema, "ts")
+    data = df.orderBy("id").collect()
+    want, until = [], {}
+    for r in data:
+        if r.k not in until or (r.ts - until[r.k]).total_seconds() >= 0:
+            want.append((r.k, r.id))
+            until[r.k] = r.ts + dt.timedelta(hours=2)
+    assert rows(drain(spark, live.single_flight(stream(), "k", "ts", "id", 7200), "flight")) == sorted(want, key=repr)
+    got = drain(spark, live.accumulated(stream().withColumn("v", F.col("id").cast("double")), "k", "ts", "id", "v", keep=3), "acc", "update")
+    last = {r.k: (r.n, r.total, r.recent) for r in got.orderBy("n").collect()}
+    assert last == {k: (len(i), float(sum(i)), i[-3:]) for k in range(3) for i in [[r.id for r in data if r.k == k]]}
+    snapshots = spark.createDataFrame([(0, "a"), (1, "b")], "k int, what string")
+    assert rows(drain(spark, live.refetched(stream(), snapshots, "k").groupBy("k", "what").count(), "fetch", "complete")) == [(0, "a", 14), (1, "b", 13)]
+    live.publish_stream(stream(), "state", str(tmp_path / "pub"), str(tmp_path / "pub-cp")).awaitTermination(120)
+    heard = drain(spark, live.subscribe(spark, str(tmp_path / "pub"), "id int, ts timestamp, k int, state string", "state", "on"), "sub")
+    assert sorted(r.id for r in heard.collect()) == [r.id for r in data if r.state == "on"]

@@ -118,3 +118,56 @@ def promote(stored: DataFrame, closed: DataFrame, key: str) -> DataFrame:
     """Mark the closing row of each key once: keys that have one keep it."""
     fresh = closed.join(stored.filter("line_type = 'closing'").select(key), key, "left_anti").withColumn("line_type", F.lit("closing"))
     return upsert(stored, fresh.select(*stored.columns), [key])
+
+
+def single_flight(stream: DataFrame, key: str, ts: str, event_id: str, hold: float) -> DataFrame:
+    """(key, event_id) of the signals that are let through: while one of a key is in flight, for `hold` seconds from its time, others of that
+    key are dropped. With a short hold this is single flight, with a longer one a cooldown; the state of a key is one number.
+
+    Rows of one micro-batch are taken in order of (`ts`, `event_id`); one older than what was let through last is dropped as well.
+    """
+    ship(stream.sparkSession)
+
+    def gate(group: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        until = kept.get[0] if kept.exists else None
+        pdf = pd.concat(list(batches)).sort_values([ts, event_id])
+        out = []
+        for at, i in zip(pdf[ts].astype("datetime64[us]").astype("int64").tolist(), pdf[event_id].tolist()):
+            if until is None or at >= until:
+                out.append(i)
+                until = at + int(hold * 1_000_000)
+        kept.update((until,))
+        yield pd.DataFrame({key: [group[0]] * len(out), event_id: out})
+
+    kinds = dict(stream.dtypes)
+    return stream.groupBy(key).applyInPandasWithState(gate, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}", "until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def accumulated(stream: DataFrame, key: str, order: str, event_id: str, value: str, keep: int = 32) -> DataFrame:
+    """(key, n, total, recent) as a history builds up: count and sum of all values so far, and the last `keep` event ids, once a micro-batch."""
+    ship(stream.sparkSession)
+
+    def add(group: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, recent = kept.get if kept.exists else (0, 0.0, [])
+        pdf = pd.concat(list(batches)).sort_values([order, event_id])
+        n, total, recent = n + len(pdf), total + float(pdf[value].sum()), [*recent, *(int(x) for x in pdf[event_id])][-keep:]
+        kept.update((n, total, recent))
+        yield pd.DataFrame({key: [group[0]], "n": [n], "total": [total], "recent": [recent]})
+
+    kinds = dict(stream.dtypes)
+    return stream.groupBy(key).applyInPandasWithState(add, f"{key} {kinds[key]}, n long, total double, recent array<long>", "n long, total double, recent array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def refetched(signals: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
+    """What a signal asks for: its key's row of a snapshot table, read anew in every micro-batch; the signal itself carries nothing on."""
+    return signals.select(key).join(snapshots, key)
+
+
+def publish_stream(stream: DataFrame, channel: str, root: str, checkpoint: str) -> StreamingQuery:
+    """Run the stream to its end into one folder for each channel, which any number of readers may follow; each row is written once."""
+    return stream.writeStream.format("parquet").partitionBy(channel).option("path", root).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def subscribe(spark: SparkSession, root: str, schema, channel: str, name) -> DataFrame:
+    """The rows of one channel as a stream, from the first on."""
+    return spark.readStream.schema(schema).parquet(root).filter(F.col(channel) == name)
