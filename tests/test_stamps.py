@@ -73,3 +73,42 @@ def test_chunks_chain_to_the_whole(n, seed, cut_at):
         best = (best[:, None] + S._steps(at[i - 1], at[i])).min(0) + cost[i]
     assert total(whole) == pytest.approx(best.min())
     assert total(path) == pytest.approx(best.min())
+
+
+def test_penalties_decide(monkeypatch):
+    """Where a source declares no order, the path through its records tells the ambiguous values; without penalties it does not."""
+    days = [dt.date(2024, 5, 1) + dt.timedelta(days=d) for d in range(40)]
+    micros = lambda m, d: int(dt.datetime(2024, m, d, tzinfo=dt.timezone.utc).timestamp() * 1e6) if m <= 12 else S.NONE
+    at = np.array([[micros(d.day, d.month) if o == "mdy" else micros(d.month, d.day) for o, _ in S.STATES] for d in days])
+    cost = S._costs("a", at, {"a": S.Convention(None, "utc", strict=False)}, S.Convention())
+    orders = lambda: {S.STATES[s][0] for s in S._decode(cost, at, np.zeros(S.K), np.zeros(S.K))}
+    assert orders() == {"dmy"}
+    monkeypatch.setattr(S, "SWITCHES", S.SWITCHES * 0)
+    monkeypatch.setitem(S.PENALTY, "back", 0.0)
+    assert orders() == {"mdy", "dmy"}
+
+
+def test_soft_conventions_are_checked(spark):
+    """A stamp that only reads against its feed's rule is read, and then found to break it; its neighbours keep theirs."""
+    rows = [("us", "04/03/2024 10:00"), ("us", "13/04/2024 10:00"), ("us", "04/05/2024 10:00"), (None, "2024-04-05 10:00")]
+    soft = {"us": S.Convention("mdy", "utc", strict=False)}
+    assert [o for _, o in (v for _, v in sorted(chosen(spark, rows, soft).items()))][:3] == ["mdy", "dmy", "mdy"]
+    df = spark.createDataFrame([("us", "mdy", "utc"), ("us", "dmy", "utc"), ("eu", "dmy", "ny"), (None, "dmy", "ny")], "f string, read_order string, read_zone string")
+    assert [r[0] for r in df.select(S.as_declared(F.col("f"), soft)).collect()] == [True, False, True, True]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 200), st.integers(0, 10_000))
+def test_chunked_search_is_the_plain_one(n, seed):
+    """The path through chunks side by side costs what one plain pass finds, and the matrix is the one of step-by-step folding."""
+    rng = np.random.default_rng(seed)
+    cost, at = rng.choice([0.0, 1.0, np.inf], (n, S.K), p=[0.4, 0.3, 0.3]), rng.integers(0, 5, (n, S.K))
+    cost[np.arange(n), rng.integers(0, S.K, n)] = 0.0
+    d = np.full((S.K, S.K), np.inf)
+    np.fill_diagonal(d, cost[0])
+    for i in range(1, n):
+        d = (d[:, :, None] + S._steps(at[i - 1], at[i])[None]).min(1) + cost[i][None]
+    assert np.array_equal(S._transfer(cost, at), d)
+    path = S._decode(cost, at, np.zeros(S.K), np.zeros(S.K))
+    total = sum(cost[i, s] for i, s in enumerate(path)) + sum(S._steps(at[i], at[i + 1])[path[i], path[i + 1]] for i in range(n - 1))
+    assert total == pytest.approx(d.min())

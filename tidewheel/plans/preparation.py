@@ -232,4 +232,27 @@ QUERIES = {
     "p1_books": _flat("book"), "p1_lines": _flat("line"), "p2_found": p2_found, "p2_inferred_conventions": p2_inferred_conventions, "p3_found": p3_found, "p3_as_known_rates": p3_as_known_rates, "p4_found": p4_found,
     "p4_identities": p4_identities, "p4_change_rates": p4_change_rates,
 }
-SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL}
+P3_RATES_SQL = f"""WITH found AS ({P3_SQL}), rates AS (SELECT DISTINCT metric_id, k_rate, 'batter' AS side FROM batter_season_metrics WHERE k_rate IS NOT NULL)
+SELECT side, count(*) AS n_known, round(avg(k_rate), 6) AS mean_k_rate FROM found LEFT JOIN rates USING (side, metric_id) GROUP BY 1"""
+
+
+def _identity_sql(entity: str, table: str, key: str, name: str) -> str:
+    return f"""SELECT '{entity}' AS entity, CAST(k AS BIGINT) AS entity_id, v AS name, strftime(d, '%Y-%m-%d') AS valid_from, coalesce(strftime(lead(d) OVER (PARTITION BY k ORDER BY d), '%Y-%m-%d'), '9999-12-31') AS valid_to
+FROM (SELECT *, lag(v) OVER (PARTITION BY k ORDER BY d) AS before FROM (SELECT {key} AS k, snapshot_date AS d, arg_max(n, ROW(updated_at, n)) AS v FROM (
+  SELECT *, nullif(upper(trim(regexp_replace({name}, '\\s+', ' ', 'g'))), '') AS n FROM {table}) WHERE n IS NOT NULL AND {key} IS NOT NULL AND snapshot_date IS NOT NULL GROUP BY 1, 2)) WHERE before IS NULL OR v <> before"""
+
+
+P4_IDENTITIES_SQL = _identity_sql("manager", "managers", "manager_id", "full_name") + "\nUNION ALL\n" + _identity_sql("team", "teams", "team_id", "team_name")
+
+
+def _rates_sql(entity: str) -> str:
+    table, key, groups, required = ENTITIES[entity]
+    attributes = [a for g in groups.values() for a in g]
+    need = required["assignment" if entity == "manager" else "venue"][0]
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in ("updated_at", *attributes))
+    best = f"(SELECT {key} AS k, snapshot_date AS d, {', '.join(attributes)} FROM {table} WHERE {need} IS NOT NULL AND {key} IS NOT NULL AND snapshot_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key}, snapshot_date ORDER BY {order}) = 1)"
+    names = f"(SELECT k, d, lag(1) OVER w AS step, {', '.join(f'x{i} IS DISTINCT FROM lag(x{i}) OVER w AS c{i}' for i in range(len(attributes)))} FROM (SELECT * FROM {best} AS b(k, d, {', '.join(f'x{i}' for i in range(len(attributes)))})) WINDOW w AS (PARTITION BY k ORDER BY d))"
+    return "\nUNION ALL\n".join(f"SELECT '{entity}' AS entity, '{a}' AS attribute, count(*) AS n_steps, count(*) FILTER (WHERE c{i}) AS n_changes FROM {names} WHERE step = 1" for i, a in enumerate(attributes))
+
+
+SQL = {"p3_found": P3_SQL, "p3_as_known_rates": P3_RATES_SQL, "p4_found": P4_SQL, "p4_identities": P4_IDENTITIES_SQL, "p4_change_rates": _rates_sql("manager") + "\nUNION ALL\n" + _rates_sql("team")}
