@@ -508,7 +508,7 @@ def coverage(docs: DataFrame, doc_id: str, text: str, min_chars: int = MIN_CHARS
     such stretches, whatever the number of texts that have them. n_spans counts the places of the spans so found. A copy of another document is shared as a whole. Texts that are NULL or too short share nothing.
     """
     members, _, pieces = _stretches(docs, doc_id, text, min_chars)
-    windows = cut(pieces.mapInArrow(_window_rows(min_chars), "h long, g long, doc_id long"))
+    windows = pieces.mapInArrow(_window_rows(min_chars), "h long, g long, doc_id long")  # cheaper to hash twice than to keep
     shared = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     partner = F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
     pairs = windows.join(shared, ["h", "g"]).select(partner.alias("a"), F.col("doc_id").alias("b")).distinct()
