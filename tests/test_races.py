@@ -61,7 +61,7 @@ def test_tiles_of_one_request(monkeypatch):
     assert all(ids[at] == 90)  # all keys are infinite
 
 
-@pytest.mark.parametrize("name", ["advancement_draw", "pickoff_draw", "change_draw", "pitch_draw", "steal_draw", "fielding_draw"])
+@pytest.mark.parametrize("name", ["advancement_draw", "pickoff_draw", "change_draw", "pitch_draw", "steal_draw", "fielding_draw", "result_draw"])
 def test_no_pairs_are_listed(spark, small, name):
     """The pairs of a cell are sorted or joined as rows nowhere: they went to disk."""
     plan = draws.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
