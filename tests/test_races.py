@@ -66,3 +66,49 @@ def test_no_pairs_are_listed(spark, small, name):
     """The pairs of a cell are sorted or joined as rows nowhere: they went to disk."""
     plan = draws.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def product(q, p):
+    """The weight of PRODUCT for one pair; 0 for a pair that does not count."""
+    if None in (q["day"], p["day"], p["base"], q["x"], p["x"]) or not p["day"] < q["day"]:
+        return 0.0
+    w = p["base"] * (1.0 if q["who"] is not None and q["who"] == p["who"] else 0.3) * math.exp(-((p["x"] - q["x"]) ** 2) / 8)
+    if None not in (p["z"], q["dz"], q["mean"]) and q["mean"] > 0:
+        w *= math.exp(-2 * (p["z"] - q["dz"]) ** 2) / q["mean"]
+    return w
+
+
+PRODUCT = races.Product(base=["base"], same={"who": 0.3}, near={"x": 1 / 8}, before="day", like={("dz", "z"): 2.0}, over="mean")
+
+
+@pytest.mark.parametrize("longer", [1, 4])
+def test_race_in_the_jvm(spark, monkeypatch, longer):
+    """NULLs, weights of 0 and far outliers, ids of many lengths (too long for one block of MD5 as well), more rows than a round has, cells in blocks."""
+    monkeypatch.setattr(races, "ROWS", 700), monkeypatch.setattr(races, "LONGER", longer), monkeypatch.setattr(races, "TOGETHER", 7)
+    rng = np.random.default_rng(3)
+    some = lambda f, none=0.1: None if rng.random() < none else f()
+    who, day, real = lambda: int(rng.integers(0, 3)), lambda: int(rng.integers(0, 50)), lambda: float(rng.normal())
+    ids = [*range(-5, 2600), 10**18, -(10**18)]
+    pool = [{"i": i, "cell": some(lambda: "cd"[int(rng.random() < 0.1)], 0.02), "base": some(lambda: float(rng.choice([0.0, 1e-60, 0.5, 1.0, 2.0]))), "who": some(who), "x": some(real) if i != 7 else 1e9, "z": some(real), "day": some(day, 0.05)} for i in ids]
+    keys = [f"{k}/r" if k % 7 else f"{k}/" + "long" * 12 for k in range(40)]
+    asked = [{"r": r, "cell": some(lambda: "cd"[int(rng.random() < 0.3)], 0.02), "who": some(who), "x": some(real), "dz": some(real), "mean": some(lambda: float(rng.choice([0.0, 0.2, 1e-9]))), "day": some(day)} for r in keys]
+    want = {}
+    for q in asked:
+        keyed = [(-math.log(1 - u("t", q["r"], p["i"])) / w, p["i"]) for p in pool if q["cell"] and q["cell"] == p["cell"] and (w := product(q, p)) > 0]
+        if keyed:
+            want[q["r"]] = min(keyed)[1]
+    ask_df = spark.createDataFrame([tuple(q.values()) for q in asked], "r string, cell string, who long, x double, dz double, mean double, day int")
+    pool_df = spark.createDataFrame([tuple(p.values()) for p in pool], "i long, cell string, base double, who long, x double, z double, day int")
+    df = races.race(ask_df, pool_df, ["cell"], "r", "i", PRODUCT, PRODUCT.asks, PRODUCT.rows, ["i", "x"], "t", keep=["day"])
+    assert "tidewheel_pairs" in df._jdf.queryExecution().analyzed().toString()
+    got = df.collect()
+    assert {g.r: g.i for g in got} == want and len(want) > 20
+    assert all(g.day == next(q["day"] for q in asked if q["r"] == g.r) and g.x == next(p["x"] for p in pool if p["i"] == g.i) for g in got)
+    monkeypatch.setattr(races.pairs, "function", lambda spark: None)
+    plain = races.race(ask_df, pool_df, ["cell"], "r", "i", PRODUCT, PRODUCT.asks, PRODUCT.rows, ["i", "x"], "t", keep=["day"])
+    assert {g.r: g.i for g in plain.collect()} == want
+
+
+def test_pitch_draw_hashes_in_the_jvm(spark, small):
+    """Hashes in arrays took more time than there is."""
+    assert "tidewheel_pairs" in draws.QUERIES["pitch_draw"](spark, small)._jdf.queryExecution().analyzed().toString()
