@@ -112,3 +112,27 @@ def test_race_in_the_jvm(spark, monkeypatch, longer):
 def test_pitch_draw_hashes_in_the_jvm(spark, small):
     """Hashes in arrays took more time than there is."""
     assert "tidewheel_pairs" in draws.QUERIES["pitch_draw"](spark, small)._jdf.queryExecution().analyzed().toString()
+
+
+def test_means_in_the_jvm(spark, monkeypatch):
+    """Sums of likeness by rounds of the JVM are those of plain exponentials: NULLs, requests that no row is before, far rows, blocks."""
+    monkeypatch.setattr(races, "ROWS", 700), monkeypatch.setattr(races, "TOGETHER", 7)
+    rng = np.random.default_rng(4)
+    some = lambda f: None if rng.random() < 0.1 else f()
+    pool = [(i, "cd"[i % 9 == 0], some(lambda: float(rng.normal() * 3)), some(lambda: float(rng.normal())) if i != 9 else 1e6, some(lambda: int(rng.integers(0, 50)))) for i in range(4000)]
+    asked = [(r, "cdz"[r % 3], some(lambda: float(rng.normal())), some(lambda: float(rng.normal())), some(lambda: int(rng.integers(0, 50)))) for r in range(40)]
+    gauss = races.Gauss(like={("a", "x"): 1.0, ("b", "z"): 0.5}, before="day", name="like")
+    asks, rows = spark.createDataFrame(asked, "r long, cell string, a double, b double, day int"), spark.createDataFrame(pool, "i long, cell string, x double, z double, day int")
+    df = races.means(asks, rows, ["cell"], "r", "i", gauss, gauss.asks, gauss.rows, ["like"], keep=["cell"])
+    assert "tidewheel_pairs" in df._jdf.queryExecution().analyzed().toString()
+    got = {g.r: (g.cell, g.n_like, g.s_like) for g in df.collect()}
+    assert len(got) == len(asked)
+    for r, cell, a, b, day in asked:
+        like = [math.exp(-((p[2] - a) ** 2) - 0.5 * (p[3] - b) ** 2) for p in pool if p[1] == cell and None not in (a, b, day, *p) and p[4] < day]
+        assert got[r][:2] == (cell, len(like)) and math.isclose(got[r][2], math.fsum(like), rel_tol=1e-12)
+
+
+def test_result_draw_hashes_in_the_jvm(spark, small):
+    """Both races and the mean of all pairs."""
+    plan = draws.QUERIES["result_draw"](spark, small)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("tidewheel_pairs") == 4  # named twice each; the first race is materialised before
